@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op2_byte_bpe
 from .sharding import op9_sharding
 from .tiff import op8_tiff
+from .tokcount import op4_token_counts
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_token_counts": op4_token_counts,
     "op8_tiff": op8_tiff,
     "op9_sharding": op9_sharding,
 }
