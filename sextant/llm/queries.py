@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .pii import op10_pii
 from .sharding import op9_sharding
 from .tiff import op8_tiff
 from .tokcount import op4_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op8_tiff": op8_tiff,
     "op9_sharding": op9_sharding,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
