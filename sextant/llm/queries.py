@@ -7,10 +7,12 @@ from .pii import op10_pii
 from .sharding import op9_sharding
 from .tiff import op8_tiff
 from .tokcount import op4_token_counts
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op8_tiff": op8_tiff,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
