@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .minhash import op7_minhash
+from .packing import op1_packing
 from .pii import op10_pii
 from .sharding import op9_sharding
 from .tiff import op8_tiff
@@ -10,9 +12,11 @@ from .tokcount import op4_token_counts
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op7_minhash": op7_minhash,
     "op8_tiff": op8_tiff,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
