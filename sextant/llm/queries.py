@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_permutation_index
 from .bpe import op2_byte_bpe
 from .minhash import op7_minhash
 from .packing import op1_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_permutation_index": op6_permutation_index,
     "op7_minhash": op7_minhash,
     "op8_tiff": op8_tiff,
     "op9_sharding": op9_sharding,
