@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op6_permutation_index
 from .bpe import op2_byte_bpe
+from .html import op3_html
 from .minhash import op7_minhash
 from .packing import op1_packing
 from .pii import op10_pii
@@ -15,6 +16,7 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html": op3_html,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_permutation_index": op6_permutation_index,
