@@ -1,4 +1,37 @@
-"""Registered queries: name -> (callable, SQL or None)."""
+"""Registered queries: name -> callable(spark, sf_dir), and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(x: Column) -> Column:
+    """Rounded to six digits, without a negative zero."""
+    return F.round(x, 6) + F.lit(0.0)
+
+
+for module in ("relational", "temporal", "texts", "vectors", "models"):
+    import_module(f"{__package__}.{module}")
