@@ -22,7 +22,7 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import table
 
 
 def virtual_nodes(n_shards: int, vnodes: int, slots: int) -> dict[int, int]:
@@ -76,12 +76,12 @@ def walk_ring(counts: dict[tuple[int, int], int], ring: dict[int, int], n_shards
     return plan
 
 
-def ring_shards(df: DataFrame, key: str, n_shards: int = 40, vnodes: int = 32, slots: int = 4096, subs: int = 8) -> DataFrame:
+def ring_shards(df: DataFrame, key: str, n_shards: int = 40, vnodes: int = 32, slots: int = 2048, subs: int = 4) -> DataFrame:
     """df with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 within a shard); the other columns stay."""
     spark, carried = df.sparkSession, df.columns
     named = df.toDF(*(f"c{i}" for i in range(len(carried))))  # the operator's own names can't clash with the caller's
     k = f"c{carried.index(key)}"
-    units = cut(
+    units = (  # read twice, for the counts and for the rows: both times alike, as every step is a function of the rows
         named.groupBy(*named.columns)
         .agg(F.count("*").alias("n_equal"))
         .withColumn("at", F.pmod(F.xxhash64(F.lit(1), k), F.lit(slots)).cast("int"))
