@@ -55,6 +55,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup paywall nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer masthead topbar toolbar social share sharing related recommended comment comments reply replies disqus respond pagination pager search login hidden".split()
 )
+MODIFIERS = frozenset(("has", "with", "without", "no", "not", "is", "js"))
 PAGE_HEADS = frozenset(("header", "masthead"))
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<[a-zA-Z/!?][^>]*+(?:>|$)", re.S)
@@ -226,7 +227,9 @@ def unwanted(tag: str, attributes: str, inside: bool) -> bool:
         if name == "role" and value in ROLES and tag not in ("main", "body", "html"):
             return True
         if name in ("class", "id") and tag not in ("main", "body", "html"):
-            words = set(WORD.findall(value))
+            # Each class by its words; has-sidebar and the like tell of other elements.
+            parts = [WORD.findall(c) for c in value.split()]
+            words = {w for c in parts if c and c[0] not in MODIFIERS for w in c}
             if tag == "article":
                 words &= {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "related"}
             if words & NAMES or not inside and words & PAGE_HEADS:

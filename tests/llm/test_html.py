@@ -24,6 +24,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<article><p>x <span class=ad>buy <span>now</span> or</span> y</p><button>b</button></article>", "x y"),
         ("<article><p>a < b > c <3</p><script>if (a < b) {}</script></article>", "a < b > c <3"),
         ("<article><textarea>t</textarea><noscript><p>n</p></noscript><p>k</p></article>", "k"),
+        ("<div class='wrap with-sidebar no-ads'><article><p>k</p></article><div class='left sidebar'>s</div></div>", "k"),
         ("<article></article>", ""),
         ("<ARTICLE><P CLASS='lead'>Up</P></ARTICLE>", "Up"),
         ("<article><b>x<p>y</b>z</p></article>", "x\nyz"),
