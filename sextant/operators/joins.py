@@ -28,37 +28,52 @@ def asof_join(
     fallback: bool = False,
     allow_exact: bool = True,
     with_next: bool = False,
+    slices: str | None = "month",
 ) -> DataFrame:
     """Each left row with the latest right row of its group at or before it.
 
-    Both sides are laid into one sequence for each group and the last right row is carried forward: one shuffle and one sort,
-    however many right rows a group has, and no pairs are made. Of right rows at the same time the last by `tie` counts. With
-    `fallback`, left rows before the first right row take the earliest one, selection is told in `selection_method`, and
-    groups without right rows are left out; otherwise such rows get nulls. With `with_next`, `next_<right_on>` is the time of
-    the row after the one selected. Null times on the right are left out; a null time on the left matches nothing.
+    Both sides are laid into one sequence for each group and slice of time (a unit of date_trunc; None: no slices), and the
+    last right row is carried forward within it. What a slice starts with comes from a table of the last right row of each
+    group and slice, which is as small as their number. So it takes one shuffle of the rows and one sort, makes no pairs, and
+    a group that holds most rows is still spread over its slices.
+
+    Of right rows at the same time the last by `tie` counts. With `fallback`, left rows before the first right row take the
+    earliest one, selection is told in `selection_method`, and groups without right rows are left out; otherwise such rows get
+    nulls. With `with_next`, `next_<right_on>` is the time of the row after the one selected. Null times on the right are left
+    out; a null time on the left matches nothing; null groups match null groups.
     """
     r = right.filter(F.col(right_on).isNotNull())
-    key = [F.col(c) for c in by]
     if with_next:
-        following = Window.partitionBy(*by).orderBy(right_on, *tie)
-        r = r.withColumn(f"next_{right_on}", F.lead(right_on).over(following))
+        r = r.withColumn(f"next_{right_on}", F.lead(right_on).over(Window.partitionBy(*by).orderBy(right_on, *tie)))
         columns = [*columns, f"next_{right_on}"]
-    carried = F.struct(F.col(right_on).alias(right_on), *(F.col(c).alias(c) for c in columns if c != right_on))
-    order = [F.col(c) for c in tie]
-    tie_key = F.struct(*order) if order else F.struct(F.lit(0))
-    side_r = r.select(*key, F.col(right_on).cast("timestamp").alias("_at"), F.lit(0 if allow_exact else 1).alias("_side"), tie_key.alias("_tie"), carried.alias("_right"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_left"))
-    side_l = left.select(*key, F.col(left_on).cast("timestamp").alias("_at"), F.lit(1 if allow_exact else 0).alias("_side"), F.lit(None).cast(side_r.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(side_r.schema["_right"].dataType).alias("_right"), F.struct("*").alias("_left"))
-    sequence = Window.partitionBy(*by).orderBy(F.col("_at").asc_nulls_first(), "_side", "_tie")
-    both = side_r.unionByName(side_l)
-    if fallback:
-        whole = Window.partitionBy(*by)
-        both = both.withColumn("_first", F.min(F.when(F.col("_right").isNotNull(), F.struct("_at", "_tie", "_right"))).over(whole))
-    found = both.withColumn("_last", F.last("_right", ignorenulls=True).over(sequence.rowsBetween(Window.unboundedPreceding, 0))).filter("_left is not null")
-    if fallback:
-        found = found.filter("_first is not null").withColumn("selection_method", F.when(F.col("_last").isNotNull(), "latest_on_or_before").otherwise("fallback_to_earliest"))
-        found = found.withColumn("_last", F.coalesce("_last", F.col("_first._right")))
-        return found.select("_left.*", "selection_method", *(F.col(f"_last.{c}").alias(c) for c in [right_on, *(c for c in columns if c != right_on)]))
-    return found.select("_left.*", *(F.col(f"_last.{c}").alias(c) for c in [right_on, *(c for c in columns if c != right_on)]))
+    names = [right_on, *(c for c in columns if c != right_on)]
+    keys = [f"_k{i}" for i in range(len(by))]
+    key = [F.col(c).alias(k) for c, k in zip(by, keys)]
+    cut = lambda at: F.date_trunc(slices, at) if slices else F.lit(None).cast("timestamp")
+    at_r, at_l = F.col(right_on).cast("timestamp"), F.col(left_on).cast("timestamp")
+    side_r = r.select(*key, cut(at_r).alias("_slice"), at_r.alias("_at"), F.struct(*(F.col(c) for c in tie), F.lit(0).alias("_0")).alias("_tie"), F.struct(*(F.col(c) for c in names)).alias("_right"))
+    side_l = left.select(*key, cut(at_l).alias("_slice"), at_l.alias("_at"), F.struct(*left.columns).alias("_left"))
+    right_type, left_type, tie_type = side_r.schema["_right"].dataType, side_l.schema["_left"].dataType, side_r.schema["_tie"].dataType
+    # _side orders what happens at the same time: what a slice starts with, then right rows, then left rows (or the reverse).
+    rows_r = side_r.select(*keys, "_slice", "_at", F.lit(1).alias("_side"), "_tie", "_right", F.lit(None).cast(left_type).alias("_left"))
+    rows_l = side_l.select(*keys, "_slice", "_at", F.lit(2 if allow_exact else 0).alias("_side"), F.lit(None).cast(tie_type).alias("_tie"), F.lit(None).cast(right_type).alias("_right"), "_left")
+    both = rows_r.unionByName(rows_l)
+    if slices:
+        last = side_r.groupBy(*keys, "_slice").agg(F.max_by("_right", F.struct("_at", "_tie")).alias("_right"))
+        wanted = side_l.filter("_slice is not null").select(*keys, "_slice").distinct().withColumn("_right", F.lit(None).cast(right_type))
+        known = last.unionByName(wanted).groupBy(*keys, "_slice").agg(F.first("_right", ignorenulls=True).alias("_right"))
+        earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        starts = known.withColumn("_right", F.last("_right", ignorenulls=True).over(earlier)).filter("_right is not null")
+        both = both.unionByName(starts.select(*keys, "_slice", F.col("_slice").alias("_at"), F.lit(-1).alias("_side"), F.lit(None).cast(tie_type).alias("_tie"), "_right", F.lit(None).cast(left_type).alias("_left")))
+    sequence = Window.partitionBy(*keys, "_slice").orderBy(F.col("_at").asc_nulls_first(), "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_right", ignorenulls=True).over(sequence)).filter("_left is not null").withColumn("_last", F.when(F.col("_at").isNotNull(), F.col("_last")))
+    if not fallback:
+        return found.select("_left.*", *(F.col(f"_last.{c}").alias(c) for c in names))
+    firsts = side_r.groupBy(*keys).agg(F.min_by("_right", F.struct("_at", "_tie")).alias("_first")).toDF(*(f"_f{k}" for k in keys), "_first")
+    same = [F.col(k).eqNullSafe(F.col(f"_f{k}")) for k in keys]
+    found = found.join(sized_broadcast(firsts), same) if same else found.crossJoin(firsts)  # without groups: one row
+    found = found.withColumn("selection_method", F.when(F.col("_last").isNotNull(), "latest_on_or_before").otherwise("fallback_to_earliest")).withColumn("_last", F.coalesce("_last", "_first"))
+    return found.select("_left.*", "selection_method", *(F.col(f"_last.{c}").alias(c) for c in names))
 
 
 def interval_lookup(left: DataFrame, right: DataFrame, by: Sequence[str], row_key: Sequence[str], day: str, start: str, end: str, priority: Column, columns: Sequence[str]) -> DataFrame:

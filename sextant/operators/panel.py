@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import floor_days
-from .joins import asof_join
+from .joins import asof_join, sized_broadcast
 
 
 def median_gap_days(dates: DataFrame, by: Sequence[str], date: str) -> DataFrame:
@@ -22,7 +22,8 @@ def election_cycle(left: DataFrame, elections: DataFrame, by: Sequence[str], at:
     """Adds the last and next election, where the cycle ends (the next, or the last plus the median gap), days since and until,
     and progress in [0, 1]. Rows before the first election have none of these."""
     found = asof_join(left, elections.select(*by, date).distinct(), by, at, date, [], with_next=True)
-    found = found.join(F.broadcast(median_gap_days(elections, by, date)), list(by), "left") if by else found.crossJoin(median_gap_days(elections, by, date))
+    gaps = median_gap_days(elections, by, date)
+    found = found.join(sized_broadcast(gaps), list(by), "left") if by else found.crossJoin(gaps)  # without groups: one row
     last, following = F.col(date), F.col(f"next_{date}")
     end = F.when(following.isNotNull(), following.cast("timestamp")).otherwise(F.timestamp_micros(F.unix_micros(last.cast("timestamp")) + F.col("gap_days") * F.lit(86_400_000_000)))
     found = found.withColumn("cycle_end", end).withColumn("cycle_boundary_source", F.when(following.isNotNull() | last.isNull(), "observed_next_election").otherwise("imputed_country_median_cycle"))
@@ -83,8 +84,6 @@ def apply_overrides(df: DataFrame, rules: DataFrame, key: str, at: str, columns:
     cover takes the latest start's."""
     row = F.monotonically_increasing_id()
     r = rules.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), *(F.col(c).alias(f"_o_{c}") for c in columns))
-    from .joins import sized_broadcast
-
     hit = (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("_s")) & (F.col("_e").isNull() | (F.col(at) < F.col("_e")))
     joined = df.withColumn("_row", row).join(sized_broadcast(r), hit, "left")
     best = Window.partitionBy("_row").orderBy(F.col("_s").desc_nulls_last())

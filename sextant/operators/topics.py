@@ -66,11 +66,10 @@ class LabelledModel:
         return LabelledModel(labels, list(pdf.columns), pdf.to_numpy(), Params(**{k: type(getattr(Params(), k))(v) for k, v in p.items()}))
 
 
-def _documents(df: DataFrame, doc: str, text: str, label: str | None, vocabulary: dict[str, int]) -> DataFrame:
-    """(doc, label, terms, counts) of documents with known terms."""
+def _documents(df: DataFrame, doc: str, text: str, label: str | None) -> DataFrame:
+    """(doc, label, terms, counts) of documents with terms."""
     counts = term_counts(df, doc, text)
-    known = counts.filter(F.col("term").isin(list(vocabulary))) if len(vocabulary) < 50 else counts
-    grouped = known.groupBy(doc).agg(F.collect_list("term").alias("terms"), F.collect_list("n").alias("counts"))
+    grouped = counts.groupBy(doc).agg(F.collect_list("term").alias("terms"), F.collect_list("n").alias("counts"))
     meta = df.select(doc, (F.col(label) if label else F.lit(None).cast("string")).alias("label"))
     return grouped.join(meta.dropDuplicates([doc]), doc).select(F.col(doc).alias("doc"), "label", "terms", "counts")
 
@@ -156,9 +155,8 @@ def infer_labelled(df: DataFrame, doc: str, text: str, model: LabelledModel, lab
     """(doc, topics array, ll): shares of all topics, or where a known label is given of its block and the latent ones."""
     spark, p = df.sparkSession, model.params
     index, place = {w: i for i, w in enumerate(model.vocabulary)}, {x: i for i, x in enumerate(model.labels)}
-    counts = term_counts(df, doc, text)
     shared = spark.sparkContext.broadcast((index, place, model.beta))
-    rows = _documents(df, doc, text, label, index) if label else counts.groupBy(doc).agg(F.collect_list("term").alias("terms"), F.collect_list("n").alias("counts")).select(F.col(doc).alias("doc"), F.lit(None).cast("string").alias("label"), "terms", "counts")
+    rows = _documents(df, doc, text, label)
     kind = df.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

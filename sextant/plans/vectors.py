@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import aggs
+from ..operators.joins import sized_broadcast
 from .catalog import query, r6, t
 
 SHARES = """long AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings), pos AS (SELECT vec_id, label, dim, greatest(CAST(x AS DOUBLE), 0.0) AS x FROM long),
@@ -42,7 +43,7 @@ def alignment(spark, d):
     """Each vector against the mean of its label."""
     rows = shares(spark, d)
     centres = aggs.as_vectors(aggs.mean_vector(rows, ["label"], "p"), ["label"], "q")
-    j = rows.join(F.broadcast(centres), "label")  # a vector for each label
+    j = rows.join(sized_broadcast(centres), "label")
     p, q = F.col("p"), F.col("q")
     return j.select("vec_id", "label", V.js_distance(p, q).alias("js"), V.cosine(p, q).alias("cosine"), V.hellinger(p, q).alias("hellinger"))
 
