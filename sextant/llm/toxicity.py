@@ -243,7 +243,11 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
 
 
 def _score_windows(m: Model, words, grams, whose, flat, first, size, at_once: int = 2048) -> np.ndarray:
-    x, _ = embed(m, words, grams, whose)
+    x, first_gram = np.empty((len(words), 2 * DIM), F32), np.searchsorted(whose, np.arange(len(words) + 1))
+    for lo in range(0, len(words), 10_000):  # the rows of all grams at once would take the driver's memory
+        hi = min(lo + 10_000, len(words))
+        at = slice(first_gram[lo], first_gram[hi])
+        x[lo:hi] = embed(m, words[lo:hi], grams[at], whose[at] - lo)[0]
     pf, pb = x @ m["wf"] + m["cf"], x @ m["wb"] + m["cb"]
     return np.concatenate([forward(m, pf, pb, *cells(flat, first[k : k + at_once], size[k : k + at_once])) for k in range(0, len(first), at_once)] or [np.zeros(0, F32)])
 
