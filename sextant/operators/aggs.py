@@ -101,3 +101,8 @@ def all_truthy(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFram
         F.coalesce(F.bool_and(x.isin("true", "false", "1", "0", "yes", "no")), F.lit(False)).alias("is_bool"),
         F.count_if(x.isin("true", "1", "yes")).alias("n_true"),
     )
+
+
+def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n rows by the order of a seeded hash of all columns: the same on any cluster."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns)).limit(n)

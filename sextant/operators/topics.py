@@ -257,3 +257,45 @@ def best_topic_count(profile: Sequence[tuple[int, int, float]]) -> int:
     for k, _, value in profile:
         means.setdefault(k, []).append(value)
     return min(sorted(means), key=lambda k: sum(means[k]) / len(means[k]))
+
+
+def coherence_profile(df: DataFrame, doc: str, text: str, topic_counts: Sequence[int], runs: int = 3, seed: int = 42, top: int = 10, **options) -> list[dict]:
+    """For each topic count the mean and sample deviation, over seeds, of the mean NPMI of top-word pairs and of the context
+    coherence of topics."""
+    from .cooccurrence import context_coherence, pair_npmi
+
+    spark = df.sparkSession
+    counts = term_counts(df, doc, text).persist()
+    out = []
+    for k in topic_counts:
+        npmi, cv = [], []
+        for run in range(runs):
+            found = PlainLDA(k, seed + run, **options).fit(df, text).top_words(top)
+            pairs = [pair_npmi(counts, doc, spark.createDataFrame([(w,) for w in words], "term string")).persist() for words in found]
+            npmi.append(float(np.mean([p.agg(F.avg("value")).first()[0] for p in pairs])))
+            cv.append(float(np.mean([context_coherence(p).first().coherence for p in pairs])))
+            for p in pairs:
+                p.unpersist()
+        spread = lambda v: float(np.std(v, ddof=1)) if len(v) > 1 else 0.0
+        out.append({"n_topics": k, "npmi_mean": float(np.mean(npmi)), "npmi_std": spread(npmi), "c_v_mean": float(np.mean(cv)), "c_v_std": spread(cv), "runs": runs})
+    counts.unpersist()
+    return out
+
+
+def topic_diversity(top_words: Sequence[Sequence[str]]) -> float:
+    """Distinct top words over all."""
+    words = [w for ws in top_words for w in ws]
+    return len(set(words)) / len(words) if words else 0.0
+
+
+def shared_space(speeches: DataFrame, programmes: DataFrame, text: str, n_topics: int, **options) -> tuple[DataFrame, DataFrame, PlainLDA]:
+    """Both sides' topic shares under one model, fitted on both."""
+    model = PlainLDA(n_topics, **options).fit(speeches.select(text).unionByName(programmes.select(text)), text)
+    return model.transform(speeches, text), model.transform(programmes, text), model
+
+
+def party_subsets(df: DataFrame, party: str, n: int) -> dict[str, DataFrame]:
+    """All rows, those of the most frequent party, those of the n most frequent."""
+    from .aggs import top_groups
+
+    return {"all": df, "top1": top_groups(df, party, 1), f"top{n}": top_groups(df, party, n)}

@@ -80,3 +80,9 @@ def status(documents: DataFrame) -> DataFrame:
     """n_ok, n_error and ok, partial or error."""
     c = documents.agg(F.count_if(F.col("fetch_status") == "ok").alias("n_ok"), F.count_if(F.col("fetch_status") != "ok").alias("n_error"))
     return c.withColumn("run_status", F.when(F.col("n_error") == 0, "ok").when(F.col("n_ok") == 0, "error").otherwise("partial"))
+
+
+def skipped(keys: DataFrame, column: str = "doc_key") -> DataFrame:
+    """What fetch_documents gives where nothing is to be fetched: every key with status 'skipped'."""
+    empty = keys.sparkSession.createDataFrame([], SCHEMA)
+    return empty.unionByName(keys.select(F.col(column).alias("doc_key"), F.lit("skipped").alias("fetch_status")).distinct(), allowMissingColumns=True)

@@ -196,3 +196,14 @@ def test_overrides_take_the_latest_window(spark):
     df = spark.createDataFrame([("c", day("2020-05-01"), "old"), ("c", day("2021-01-01"), "old"), ("d", day("2020-05-01"), "old")], "k string, at date, v string")
     rules = spark.createDataFrame([("c", day("2020-01-01"), day("2021-01-01"), "a"), ("c", day("2020-04-01"), None, "b")], "k string, start date, end date, v string")
     assert sorted((str(r["at"]), r.k, r.v) for r in panel.apply_overrides(df, rules, "k", "at", ["v"]).collect()) == [("2020-05-01", "c", "b"), ("2020-05-01", "d", "old"), ("2021-01-01", "c", "b")]
+
+
+def test_coherence_and_diversity(spark):
+    rows = [(i, ("budget tax euro " if i % 2 else "army war border ") * 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    profile = topics.coherence_profile(df, "id", "text", [2], runs=1, top=3, iterations=8)
+    assert profile[0]["runs"] == 1 and -1 <= profile[0]["npmi_mean"] <= 1 and profile[0]["npmi_std"] == 0.0
+    assert topics.topic_diversity([["a", "b"], ["b", "c"]]) == 0.75
+    a, b, _ = topics.shared_space(df, df.limit(4), "text", 2, iterations=2)
+    assert a.count() == 40 and b.count() == 4
+    assert aggs.sample_rows(df, 5).collect() == aggs.sample_rows(df.repartition(3), 5).collect()
