@@ -54,3 +54,14 @@ def words_pattern() -> str:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Numbers that expand() holds in one array.
+EXPANDED_AT_ONCE = 100_000
+
+
+def expand(df: DataFrame, n: str, name: str) -> DataFrame:
+    """A row for each number from 0 to below the column n, in `name`; in parts, so that a large n needs no large array."""
+    first = F.col("_part") * EXPANDED_AT_ONCE
+    parts = df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / EXPANDED_AT_ONCE))))
+    return parts.withColumn(name, F.explode(F.sequence(first, F.least(first + EXPANDED_AT_ONCE, F.col(n)) - 1))).drop("_part")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import expand, prepare, table
 
 CAPACITY, GROUP_ROWS, FREQUENT = 8192, 2048, 8
 
@@ -116,7 +116,7 @@ def best_fit(df: DataFrame, id_col: str, length: Column, source: Column, cluster
     prepare(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("length"), source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
     units = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
-    items = units.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+    items = expand(units, "n", "copy").drop("n")
     n_groups = max(1, -(-df.count() // group_rows))
     items = items.withColumn("pack_group", F.pmod(F.xxhash64("id", "length", "source", "cluster", "copy"), F.lit(n_groups)))
     kind = df.schema[id_col].dataType.simpleString()

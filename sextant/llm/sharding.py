@@ -22,7 +22,7 @@ from hashlib import blake2b
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import expand, table
 
 
 def virtual_nodes(n_shards: int, vnodes: int, slots: int) -> dict[int, int]:
@@ -77,7 +77,11 @@ def walk_ring(counts: dict[tuple[int, int], int], ring: dict[int, int], n_shards
 
 
 def ring_shards(df: DataFrame, key: str, n_shards: int = 40, vnodes: int = 32, slots: int = 2048, subs: int = 4) -> DataFrame:
-    """df with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 within a shard); the other columns stay."""
+    """df with `shard` (0 to n_shards - 1) and `slot` (gapless from 0 within a shard); the other columns stay, but for ones that
+    already have these names."""
+    if key in ("shard", "slot"):
+        raise ValueError(f"the key can't be named {key}")
+    df = df.drop("shard", "slot")
     spark, carried = df.sparkSession, df.columns
     named = df.toDF(*(f"c{i}" for i in range(len(carried))))  # the operator's own names can't clash with the caller's
     k = f"c{carried.index(key)}"
@@ -93,7 +97,7 @@ def ring_shards(df: DataFrame, key: str, n_shards: int = 40, vnodes: int = 32, s
     intervals = intervals.toDF("p_at", "p_sub", "lo", "hi", "shard", "base")
     before = Window.partitionBy("at", "sub").orderBy(F.xxhash64(F.lit(3), k), *named.columns).rowsBetween(Window.unboundedPreceding, -1)
     ranked = units.withColumn("start", F.coalesce(F.sum("n_equal").over(before), F.lit(0)))
-    rows = ranked.withColumn("rank", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_equal") - 1)))
+    rows = expand(ranked, "n_equal", "nth").withColumn("rank", F.col("start") + F.col("nth"))
     placed = rows.join(
         F.broadcast(intervals),  # a row for each cell and one more for each shard that fills up: bounded by slots, subs and vnodes
         (F.col("at") == F.col("p_at")) & (F.col("sub") == F.col("p_sub")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")),

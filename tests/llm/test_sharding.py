@@ -49,6 +49,17 @@ def test_balanced_and_gapless_with_odd_rows(spark):
     for s in range(7):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(n[s]))
     assert ring_shards(df.limit(0), "shard_key").count() == 0
+    clash = ring_shards(df.selectExpr("shard_key", "at as shard", "'x' as slot"), "shard_key", 7, 8)
+    assert clash.columns == ["shard_key", "shard", "slot"] and clash.agg({"shard": "max"}).first()[0] == 6
+
+
+def test_expand_in_parts(spark, monkeypatch):
+    from sextant.llm import common
+
+    monkeypatch.setattr(common, "EXPANDED_AT_ONCE", 4)
+    df = spark.createDataFrame([("a", n) for n in (1, 3, 4, 5, 8, 9, 30)], "k string, n long")
+    got = sorted((r.n, r.i) for r in common.expand(df, "n", "i").collect())
+    assert got == [(n, i) for n in (1, 3, 4, 5, 8, 9, 30) for i in range(n)]
 
 
 def test_one_more_shard_moves_few(spark):
