@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
 A token (run between white space, lower case, without punctuation at its ends) enters as its word's hashed embedding beside
-the mean of the hashed embeddings of its byte 3- to 5-grams. Two gated recurrent layers read a window of WINDOW tokens in
+the mean of the hashed embeddings of its byte 3- and 5-grams. Two gated recurrent layers read a window of WINDOW tokens in
 both directions, attention pools their states, and a logistic unit scores the window. Windows start every STRIDE tokens, so
 they overlap and every token is in one; a document's score is the highest of its windows'.
 
@@ -17,6 +17,7 @@ Cases: a null or empty text scores as a window of no tokens; without labels of b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,11 @@ from .common import map_rows, table
 SAMPLE_EACH, SAMPLE_CHARS = 1500, 20_000
 WINDOW, STRIDE = 48, 32
 HIDDEN, DIM, ATTENTION, WORD_ROWS, GRAM_ROWS = 16, 16, 16, 1 << 13, 1 << 14
+GRAM_SIZES = (3, 5)
 EPOCHS, RANDOM_EPOCHS, BATCH, RATE, SEED = 8, 3, 128, 0.01, 7
 THRESHOLD = 0.3
 #: Distinct tokens whose inputs a worker keeps.
-MEMO_TOKENS = 120_000
+MEMO_TOKENS = 150_000
 ENDS = ".,;:!?()[]{}<>\"'*#%"
 F32 = np.float32
 GRAM_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -54,7 +56,7 @@ def token_inputs(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     position = (lengths[owner] - left).astype(np.uint64)
     words = np.add.reduceat(_mix(a + (position + np.uint64(1)) * GRAM_FACTORS[0]), np.concatenate(([0], ends[:-1])))
     grams, whose = [], []
-    for n in (3, 4, 5):
+    for n in GRAM_SIZES:
         at = np.flatnonzero(left >= n)
         h = np.full(len(at), n, np.uint64)
         for k in range(n):
@@ -253,18 +255,20 @@ def _score_windows(m: Model, words, grams, whose, flat, first, size, at_once: in
 
 
 class Scorer:
-    """Scores texts; keeps the inputs of the tokens seen, MEMO_TOKENS at most and those of one call."""
+    """Scores texts; keeps the inputs of the tokens seen, MEMO_TOKENS at most and those of one call. Beyond that it goes back
+    to the first third, which holds the frequent ones."""
 
     def __init__(self, m: Model):
         self.m = m
-        self._forget()
-
-    def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.pf = self.pb = np.zeros((0, 3 * HIDDEN), F32)
         self.size = 0
         self._add([""])
 
+    def _forget(self) -> None:
+        self.size = min(self.size, MEMO_TOKENS // 3)
+        self.number = dict(zip(self.number, range(self.size)))  # in the order of their numbers
+
     def _add(self, tokens: list[str]) -> None:
         if "constant" in self.m:
             return
@@ -287,7 +291,7 @@ class Scorer:
             self._forget()
         self._add(sorted(set().union(*lists).difference(self.number)))
         number = self.number
-        flat = np.array([number[w] for ws in lists for w in ws], np.int32)
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int32)
         doc, first, size = windows(np.array([len(ws) for ws in lists], np.int64))
         full = np.argsort(-size, kind="stable")  # short windows together need fewer steps
         logits = np.empty(len(doc), F32)
@@ -325,8 +329,8 @@ def score_table(df: DataFrame, text_col: str, model: Model, name: str = "score")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
                 s = pa.array(scorer.score(part.column(at).to_pylist()), pa.float64())
                 kept = [i for i in range(part.num_columns) if i not in old]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), s], names=[*(part.schema.names[i] for i in kept), name])
