@@ -47,6 +47,21 @@ def test_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_recall_beside_a_dense_group():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(4000, 64))
+    x[:800] = x[0] + 0.01 * r.normal(size=(800, 64))
+    x = x[r.permutation(4000)]
+    block = ann.Block(x, ann.choose_pivots(x[:1024]))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q in range(0, 4000, 40):
+        ((rows, score),) = block.search(x[q : q + 1], 6)
+        found = set(rows[np.argsort(-score, kind="stable")][:6].tolist()) - {q}
+        hit += len(found & set(np.argsort(-(unit @ unit[q]))[1:6].tolist()))
+    assert hit / 500 >= 0.95
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0]), (3, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in ann.search(df, "vec_id", "embedding", lambda i: i % 50 == 0).collect()}
@@ -63,4 +78,4 @@ def test_footrule_order_of_a_block():
     for p in range(20):
         assert set(block.rows[block.begin[p] : block.begin[p + 1]].tolist()) == {i for i in range(50) if p in near[i, : ann.POSTED]}
     for i in range(50):
-        assert [block.place[p, i] for p in near[i]] == list(range(20))
+        assert [block.place[i, p] for p in near[i]] == list(range(20))
