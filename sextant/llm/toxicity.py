@@ -206,12 +206,12 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = EPOCH
     if not len(y) or y.min() == y.max():
         return {"constant": np.array([share], F32)}
     r, m = np.random.default_rng(seed), start(seed)
-    lists = [tokens_of(t) for t in texts]
     number: dict[str, int] = {"": 0}
-    flat = np.array([number.setdefault(w, len(number)) for ws in lists for w in ws], np.int64)
+    ids_of = [np.array([number.setdefault(w, len(number)) for w in tokens_of(t)], np.int64) for t in texts]
+    lengths, flat = np.array([len(x) for x in ids_of], np.int64), np.concatenate(ids_of)
     words, grams, whose = token_inputs(list(number))
     first_gram = np.searchsorted(whose, np.arange(len(number) + 1))
-    doc, first, size = windows(np.array([len(ws) for ws in lists], np.int64))
+    doc, first, size = windows(lengths)
     starts = np.searchsorted(doc, np.arange(len(y) + 1))
     mean, square = {k: np.zeros_like(a) for k, a in m.items()}, {k: np.zeros_like(a) for k, a in m.items()}
     weight_of = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(F32)
