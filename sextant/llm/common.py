@@ -32,10 +32,11 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df: lineage ends in the shared folder, so a lost executor costs one reread."""
+def cut(df: DataFrame, most_files: int | None = None) -> DataFrame:
+    """A reliable checkpoint of df: lineage ends in the shared folder, so a lost executor costs one reread. most_files: where
+    df is no larger than something of so many partitions, more files than that would only be small ones."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(most_files) if most_files else df).checkpoint(eager=True)
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -11,8 +11,8 @@ that links reach.
 3. In each bucket every class is paired with the bucket's smallest (a star, linear in the bucket), and the pairs are
    confirmed on their full sets. Components of these links are found by large-star and small-star steps.
 4. A bucket that still holds several components may hide links between members other than its smallest. It is cut into
-   blocks of BLOCK members in the order of components; each pair of blocks that holds more than one counts all its
-   intersections exactly and gives back only links that join components, fewer than it has members. So no link is lost to the size of a bucket, and no list of all pairs is made.
+   blocks of about BLOCK members; each pair of blocks that holds more than one component counts all its intersections
+   exactly and gives back only links that join components, fewer than it has members. So no link is lost to the size of a bucket, and no list of all pairs is made.
 
 Hashes of shingles have 64 bits. Nothing is capped. Only counts and sums reach the driver.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_rows, table, utf8
@@ -197,11 +197,15 @@ def _checksum(edges: DataFrame) -> tuple:
     return r.n, r.s
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges in a partition, in the rounds of components.
+EDGES_AT_ONCE = 100_000
+
+
+def components(edges: DataFrame, most_files: int | None = None) -> DataFrame:
     """(node, component): every node of the edges (a, b), with the smallest node it reaches. Alternates large-star and
     small-star steps until nothing changes, which takes a number of rounds that grows with the logarithm of the longest path.
     """
-    e = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), most_files)
     seen = _checksum(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -209,7 +213,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
-        e = cut(small.select("x.*").filter("a != b").distinct())
+        # A round leaves at most twice the edges of the one before: their number gives that of the files to write.
+        e = cut(small.select("x.*").filter("a != b").distinct(), 1 + seen[0] // EDGES_AT_ONCE)
         now = _checksum(e)
         if now == seen:
             break
@@ -221,17 +226,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id_col, n_shingles, component_id (the smallest id reachable) and kept (whether that is the row's own)."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = cut(map_rows(docs, _hashed, "id long, n_shingles long, key binary, bands array<bigint>"))
-    classes = cut(hashed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    parts = hashed.rdd.getNumPartitions()  # what follows is no larger than the documents
+    classes = cut(hashed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), parts)
     first = hashed.join(classes.filter(F.col("rep").isNotNull()).select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi")
     banded = first.dropDuplicates(["key", "id"]).select("id", F.explode("bands").alias("bucket"))  # a repeated row is one class
     stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print")).filter("n > 1")
-    shared = cut(banded.join(stars, "bucket"))
-    texts = cut(docs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    shared = cut(banded.join(stars, "bucket"), parts)
+    texts = cut(docs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), parts)
     pairs = shared.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirm(pairs, texts)
-    found = components(links)
-    more = _between_components(shared, found, texts)
-    joined = components(more)
+    found = components(links, parts)
+    joined = components(_between_components(shared, found, texts, parts), parts)
     lifted = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component"))
     # Links of the second kind run between components, or classes that had no link before.
     final = lifted.unionByName(joined.join(found.select("node"), "node", "left_anti"))
@@ -246,15 +251,22 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(with_a.select("a", "b", "text_a", "text_b"), _confirmed, "a long, b long")
 
 
-def _between_components(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+def _between_components(shared: DataFrame, found: DataFrame, texts: DataFrame, most_files: int) -> DataFrame:
     """Links between components that share a bucket of three or more, as pairs of components."""
     member = shared.filter("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # Buckets of the same members say the same; one of them is looked at.
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("print").alias("print"), F.first("n").alias("n")).filter("lo != hi")
     mixed = mixed.groupBy("print", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    # Blocks follow the order of components, so that most pairs of blocks of a large component need no look.
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("component", "id"))
-    rows = cut(member.select("bucket", "id", "component").join(mixed, "bucket", "left_semi").withColumn("block", ((place - 1) / BLOCK).cast("int")))
+    # A component of BLOCK members or more has blocks to itself, the smaller ones share theirs; so most pairs of blocks hold one
+    # component and need no look. Counts decide, so no bucket has to be sorted in one task.
+    held = member.select("bucket", "id", "component").join(mixed, "bucket", "left_semi")
+    each = held.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    small = each.filter(F.col("c") < BLOCK).groupBy("bucket").agg(F.sum("c").alias("small"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
+    alone = F.xxhash64("component", F.pmod(F.xxhash64("id"), blocks("c")))
+    block = F.when(F.col("c") >= BLOCK, alone).otherwise(F.pmod(F.xxhash64("component"), blocks("small")))
+    rows = held.join(each.join(small, "bucket", "left"), ["bucket", "component"]).select("bucket", "id", "component", block.alias("block"))
+    rows = cut(rows, most_files)
     block = rows.groupBy("bucket", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     i, j = block.toDF("bucket", "i", "i_lo", "i_hi"), block.toDF("bucket", "j", "j_lo", "j_hi")
     looked = i.join(j, "bucket").filter("i <= j and least(i_lo, j_lo) != greatest(i_hi, j_hi)").select("bucket", "i", "j")
