@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,32 +29,43 @@ def term_counts(df: DataFrame, doc: str, text: str, min_cf: int = 1, rm_top: int
     return counts.select(doc, "term", "n")
 
 
-def pair_npmi(counts: DataFrame, doc: str, words: DataFrame) -> DataFrame:
-    """(a, b, pair, df_a, df_b, value) of all pairs a < b of the given terms. words holds a bounded list (top terms), so a
-    document has a bounded set of them, and pairs are made within that."""
-    n_docs = counts.select(doc).distinct().count()
-    held = counts.join(F.broadcast(words.select("term").distinct()), "term", "left_semi").groupBy(doc).agg(F.array_sort(F.collect_set("term")).alias("ts"))
-    df = held.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    pairs = held.select(F.explode(F.expr("flatten(transform(ts, (a, i) -> transform(slice(ts, i + 2, size(ts)), b -> struct(a as a, b as b))))")).alias("p"))
-    both = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("pair"))
-    a, b = df.toDF("a", "df_a"), df.toDF("b", "df_b")
-    w = words.select("term").distinct()
-    every = F.broadcast(w.toDF("a")).join(F.broadcast(w.toDF("b")), F.col("a") < F.col("b"))
-    full = every.join(F.broadcast(a), "a", "left").join(F.broadcast(b), "b", "left").join(F.broadcast(both), ["a", "b"], "left").na.fill(0, ["pair", "df_a", "df_b"])
-    return full.select("a", "b", "pair", "df_a", "df_b", npmi(F.col("pair"), F.col("df_a"), F.col("df_b"), F.lit(n_docs)).alias("value"))
-
-
-def context_coherence(pairs: DataFrame) -> DataFrame:
-    """One row: mean cosine of all pairs of context vectors, whose entries are max(NPMI, 0), and 1 on the diagonal."""
-    both = pairs.select("a", "b", F.greatest("value", F.lit(0.0)).alias("v"))
-    words = both.select(F.col("a").alias("w")).union(both.select("b")).distinct()
-    entries = both.union(both.select("b", "a", "v")).union(words.select("w", "w", F.lit(1.0)))
-    e = entries.toDF("w", "c", "v")
-    norms = e.groupBy("w").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    x, y = e.toDF("w1", "c", "v1"), e.toDF("w2", "c", "v2")
-    dots = x.join(y, "c").filter("w1 < w2").groupBy("w1", "w2").agg(F.sum(F.col("v1") * F.col("v2")).alias("dot"))
-    cos = dots.join(norms.toDF("w1", "n1"), "w1").join(norms.toDF("w2", "n2"), "w2")
-    return cos.agg(F.avg(F.when(F.col("n1") * F.col("n2") > 0, F.col("dot") / (F.col("n1") * F.col("n2"))).otherwise(0.0)).alias("coherence"), F.count("*").alias("n_pairs"))
+def corpus_top_terms(df: DataFrame, text: str, k: int) -> list[str]:
+    """The k most frequent terms of all texts; of equally frequent ones the smaller first."""
+    counts = df.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return [r.term for r in counts.orderBy(F.desc("n"), "term").limit(k).collect()]
+
+
+def pair_npmi(df: DataFrame, text: str, words: Sequence[str]) -> DataFrame:
+    """(a, b, pair, df_a, df_b, value) of all pairs a < b of the given words, a short list such as a topic's top words.
+
+    One pass: a document adds one to itself, to each of the words it holds and to each pair of these; map-side sums leave no
+    more rows than there are pairs, and these become one map.
+    """
+    listed = sorted(set(words))
+    mark = lambda a, b: F.concat_ws("\u0001", a, b)
+    held = F.array_sort(F.array_intersect("t", F.array(*map(F.lit, listed))))
+    pairs = F.flatten(F.transform(F.col("held"), lambda a: F.transform(F.filter(F.col("held"), lambda b: b >= a), lambda b: mark(a, b))))
+    docs = df.select(terms(F.col(text)).alias("t")).filter(F.size("t") > 0).select(held.alias("held"))
+    counts = docs.select(F.explode(F.concat(F.array(F.lit("")), pairs)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    table = counts.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
+    every = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(listed) for b in listed[i + 1 :]))
+    n = lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit(0).cast("long"))
+    rows = table.select("m", F.explode(every).alias("p")).select("p.a", "p.b", n(mark(F.col("p.a"), F.col("p.b"))).alias("pair"), n(mark(F.col("p.a"), F.col("p.a"))).alias("df_a"), n(mark(F.col("p.b"), F.col("p.b"))).alias("df_b"), n(F.lit("")).alias("n_docs"))
+    return rows.select("a", "b", "pair", "df_a", "df_b", npmi(F.col("pair"), F.col("df_a"), F.col("df_b"), F.col("n_docs")).alias("value"))
+
+
+def context_coherence(pairs: DataFrame) -> tuple[float, int]:
+    """Mean cosine of all pairs of context vectors, whose entries are max(NPMI, 0) and 1 on the diagonal, and the number of
+    pairs. pairs: what pair_npmi gave, a matrix of a short list of words."""
+    rows = pairs.select("a", "b", "value").collect()
+    words = sorted({w for r in rows for w in (r.a, r.b)})
+    place = {w: i for i, w in enumerate(words)}
+    m = np.eye(len(words))
+    for r in rows:
+        m[place[r.a], place[r.b]] = m[place[r.b], place[r.a]] = max(r.value, 0.0)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    cos = (m @ m.T)[np.triu_indices(len(words), 1)]
+    return (float(cos.mean()) if len(cos) else 0.0), len(cos)
 
 
 def top_terms(counts: DataFrame, keys: Sequence[str], k: int, weight: str = "n") -> DataFrame:

@@ -56,7 +56,7 @@ class LabelledModel:
         rows = [(k, w, float(self.beta[k, j])) for k in range(len(self.beta)) for j, w in enumerate(self.vocabulary)]
         spark.createDataFrame(rows, "topic int, term string, p double").write.mode("overwrite").parquet(f"{path}/beta")
         spark.createDataFrame([(i, x) for i, x in enumerate(self.labels)], "position int, label string").write.mode("overwrite").parquet(f"{path}/labels")
-        spark.createDataFrame([vars(self.params) if not hasattr(self.params, "__slots__") else {}]).write.mode("overwrite").json(f"{path}/params")
+        spark.createDataFrame([vars(self.params)]).write.mode("overwrite").json(f"{path}/params")
 
     @staticmethod
     def load(spark, path: str) -> LabelledModel:
@@ -259,26 +259,23 @@ def best_topic_count(profile: Sequence[tuple[int, int, float]]) -> int:
     return min(sorted(means), key=lambda k: sum(means[k]) / len(means[k]))
 
 
-def coherence_profile(df: DataFrame, doc: str, text: str, topic_counts: Sequence[int], runs: int = 3, seed: int = 42, top: int = 10, **options) -> list[dict]:
+def coherence_profile(df: DataFrame, text: str, topic_counts: Sequence[int], runs: int = 3, seed: int = 42, top: int = 10, **options) -> list[dict]:
     """For each topic count the mean and sample deviation, over seeds, of the mean NPMI of top-word pairs and of the context
     coherence of topics."""
     from .cooccurrence import context_coherence, pair_npmi
 
-    spark = df.sparkSession
-    counts = term_counts(df, doc, text).persist()
     out = []
     for k in topic_counts:
         npmi, cv = [], []
         for run in range(runs):
             found = PlainLDA(k, seed + run, **options).fit(df, text).top_words(top)
-            pairs = [pair_npmi(counts, doc, spark.createDataFrame([(w,) for w in words], "term string")).persist() for words in found]
+            pairs = [pair_npmi(df, text, words).persist() for words in found]
             npmi.append(float(np.mean([p.agg(F.avg("value")).first()[0] for p in pairs])))
-            cv.append(float(np.mean([context_coherence(p).first().coherence for p in pairs])))
+            cv.append(float(np.mean([context_coherence(p)[0] for p in pairs])))
             for p in pairs:
                 p.unpersist()
         spread = lambda v: float(np.std(v, ddof=1)) if len(v) > 1 else 0.0
         out.append({"n_topics": k, "npmi_mean": float(np.mean(npmi)), "npmi_std": spread(npmi), "c_v_mean": float(np.mean(cv)), "c_v_std": spread(cv), "runs": runs})
-    counts.unpersist()
     return out
 
 

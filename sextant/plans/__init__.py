@@ -1 +1 @@
-
+"""Registered queries and the alignment study."""

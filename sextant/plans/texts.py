@@ -37,9 +37,8 @@ SELECT a, b, CAST(coalesce(pair, 0) AS BIGINT) AS pair, CAST(f.df AS BIGINT) AS
  round(CASE WHEN coalesce(pair, 0) = 0 THEN -1.0 WHEN pair >= n_docs THEN 1.0 ELSE ln((pair / n_docs) / ((f.df / n_docs) * (g.df / n_docs))) / -ln(pair / n_docs) END, 6) AS npmi
 FROM al LEFT JOIN pr USING (a, b) JOIN df f ON a = f.term JOIN df g ON b = g.term, dn""")
 def q_pair_npmi(spark, d):
-    counts = C.term_counts(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    words = C.top_terms(counts, [], 20)
-    return C.pair_npmi(counts, "doc_id", words).select("a", "b", "pair", "df_a", "df_b", r6(F.col("value")).alias("npmi"))
+    docs = t(spark, d, "documents")
+    return C.pair_npmi(docs, "text", C.corpus_top_terms(docs, "text", 20)).select("a", "b", "pair", "df_a", "df_b", r6(F.col("value")).alias("npmi"))
 
 
 @query(f"""WITH {COUNTS}, top AS (SELECT term FROM counts GROUP BY term ORDER BY sum(n) DESC, term LIMIT 10), dn AS (SELECT count(DISTINCT doc_id) AS n_docs FROM counts), p AS (SELECT doc_id, term FROM counts WHERE term IN (SELECT term FROM top)),
@@ -49,9 +48,9 @@ ctx AS (SELECT x.term AS w, y.term AS c, CASE WHEN x.term = y.term THEN 1.0 WHEN
 nm AS (SELECT w, sqrt(sum(v * v)) AS nrm FROM ctx GROUP BY w), cs AS (SELECT x.w AS w1, y.w AS w2, sum(x.v * y.v) AS dt FROM ctx x JOIN ctx y ON x.c = y.c AND x.w < y.w GROUP BY ALL)
 SELECT round(avg(dt / (a.nrm * b.nrm)), 6) AS coherence, CAST(count(*) AS BIGINT) AS n_pairs FROM cs JOIN nm a ON a.w = w1 JOIN nm b ON b.w = w2""")
 def q_cv_context(spark, d):
-    counts = C.term_counts(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    out = C.context_coherence(C.pair_npmi(counts, "doc_id", C.top_terms(counts, [], 10)))
-    return out.select(r6(F.col("coherence")).alias("coherence"), "n_pairs")
+    docs = t(spark, d, "documents")
+    row = C.context_coherence(C.pair_npmi(docs, "text", C.corpus_top_terms(docs, "text", 10)))
+    return spark.createDataFrame([row], "coherence double, n_pairs long").select(r6(F.col("coherence")).alias("coherence"), "n_pairs")
 
 
 @query(f"""WITH {COUNTS}, c AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL), r AS (SELECT lang, term, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM c)

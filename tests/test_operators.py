@@ -156,7 +156,7 @@ def test_least_squares_against_dense(spark):
     assert "x" in f.report()
 
 
-def test_labelled_topics(spark):
+def test_labelled_topics(spark, tmp_path):
     import random
 
     r = random.Random(1)
@@ -178,6 +178,9 @@ def test_labelled_topics(spark):
     assert np.mean([sum(free[i][:2]) > sum(free[i][2:4]) for i, label, _ in rows if label == "tax"]) > 0.9
     again = topics.fit_labelled(df, "id", "text", "label", ["id"], p, iterations=3)
     assert np.allclose(again.beta, topics.fit_labelled(df.repartition(3), "id", "text", "label", ["id"], p, iterations=3).beta)
+    m.save(spark, str(tmp_path))
+    back = topics.LabelledModel.load(spark, str(tmp_path))
+    assert (back.labels, back.vocabulary, back.params) == (m.labels, m.vocabulary, m.params) and np.allclose(back.beta, m.beta)
     best, log = topics.grid_search(df, "id", "text", "label", ["id"], topics.grid(topics_per_label=[1, 2], latent_topics=[1], min_cf=[3]), iterations=2)
     assert sum(x["is_best"] for x in log) == 1 and min(x["perplexity"] for x in log) == best.log[-1][2]
 
@@ -201,7 +204,7 @@ def test_overrides_take_the_latest_window(spark):
 def test_coherence_and_diversity(spark):
     rows = [(i, ("budget tax euro " if i % 2 else "army war border ") * 4) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, text string")
-    profile = topics.coherence_profile(df, "id", "text", [2], runs=1, top=3, iterations=8)
+    profile = topics.coherence_profile(df, "text", [2], runs=1, top=3, iterations=8)
     assert profile[0]["runs"] == 1 and -1 <= profile[0]["npmi_mean"] <= 1 and profile[0]["npmi_std"] == 0.0
     assert topics.topic_diversity([["a", "b"], ["b", "c"]]) == 0.75
     a, b, _ = topics.shared_space(df, df.limit(4), "text", 2, iterations=2)

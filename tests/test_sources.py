@@ -22,7 +22,7 @@ SPEECH = f"""<TEI {NS} xml:id="doc1" xml:lang="cs" ana="#parla.sitting  #referen
 
 @pytest.fixture(scope="module")
 def corpus(tmp_path_factory):
-    root = tmp_path_factory.mktemp("tei") / "ParlaMint-CZ.TEI"
+    root = tmp_path_factory.mktemp("tei") / "Minutes-CZ.TEI"
     (root / "2014").mkdir(parents=True)
     (root / "2016").mkdir()
     for name, content in (("CZ-listOrg.xml", ORGS), ("CZ-listPerson.xml", PEOPLE), ("CZ-taxonomy-speaker_types.xml", TYPES), ("CZ-taxonomy-topic.xml", TOPICS), ("2014/a_2014-03-05.xml", SPEECH)):
@@ -33,7 +33,7 @@ def corpus(tmp_path_factory):
 
 
 def test_speeches(spark, corpus):
-    rows = tei.speeches(spark, corpus, "ParlaMint-CZ").orderBy("doc_id", "pos").collect()
+    rows = tei.speeches(spark, corpus, "Minutes-CZ").orderBy("doc_id", "pos").collect()
     assert set(tei.COLUMNS) | {"pos"} == set(rows[0].asDict())
     one = [r for r in rows if r.doc_id == "doc1"]
     assert [(r.unit_type, r.unit_id, r.text) for r in one] == [("segment", "u1.1", "First x part"), ("segment", "u1.seg3", "Third"), ("speech", "u2", "Plain words"), ("speech", "u3", "Comment")]
@@ -49,9 +49,9 @@ def test_speeches(spark, corpus):
 
 
 def test_units_and_notes(spark, corpus):
-    whole = tei.speeches(spark, corpus, "ParlaMint-CZ", unit="speech").filter("doc_id = 'doc1'").orderBy("pos").collect()
+    whole = tei.speeches(spark, corpus, "Minutes-CZ", unit="speech").filter("doc_id = 'doc1'").orderBy("pos").collect()
     assert [r.text for r in whole] == ["First x part Third", "Plain words", "Comment"]
-    notes = tei.speeches(spark, corpus, "ParlaMint-CZ", include_notes=True).filter("unit_type = 'note' and doc_id = 'doc1'").orderBy("pos").collect()
+    notes = tei.speeches(spark, corpus, "Minutes-CZ", include_notes=True).filter("unit_type = 'note' and doc_id = 'doc1'").orderBy("pos").collect()
     assert [(r.note_type, r.content_kind, r.text) for r in notes] == [("speaker", "speaker_marker", "Chair:"), ("time", "procedural_commentary", "10:00"), ("time", "procedural_commentary", "10:00"), ("vote", "procedural_commentary", "yes")]
     assert tei.speech_files(spark, corpus, 1).count() == 1
     with pytest.raises(ValueError):
