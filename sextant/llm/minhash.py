@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, table, utf8
+from .common import cut, keep, map_rows, table, utf8
 
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -225,18 +225,18 @@ def components(edges: DataFrame, most_files: int | None = None) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (the smallest id reachable) and kept (whether that is the row's own)."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hashed = cut(map_rows(docs, _hashed, "id long, n_shingles long, key binary, bands array<bigint>"))
-    parts = hashed.rdd.getNumPartitions()  # what follows is no larger than the documents
-    classes = cut(hashed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), parts)
+    hashed = keep(map_rows(docs, _hashed, "id long, n_shingles long, key binary, bands array<bigint>"))
+    files = 1 + hashed.count() // EDGES_AT_ONCE
+    classes = hashed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"))
     first = hashed.join(classes.filter(F.col("rep").isNotNull()).select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi")
     banded = first.dropDuplicates(["key", "id"]).select("id", F.explode("bands").alias("bucket"))  # a repeated row is one class
     stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print")).filter("n > 1")
-    shared = cut(banded.join(stars, "bucket"), parts)
-    texts = cut(docs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), parts)
+    shared = keep(banded.join(stars, "bucket"))
+    texts = keep(docs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     pairs = shared.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirm(pairs, texts)
-    found = components(links, parts)
-    joined = components(_between_components(shared, found, texts, parts), parts)
+    found = components(links, files)
+    joined = components(_between_components(shared, found, texts), files)
     lifted = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component"))
     # Links of the second kind run between components, or classes that had no link before.
     final = lifted.unionByName(joined.join(found.select("node"), "node", "left_anti"))
@@ -251,7 +251,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(with_a.select("a", "b", "text_a", "text_b"), _confirmed, "a long, b long")
 
 
-def _between_components(shared: DataFrame, found: DataFrame, texts: DataFrame, most_files: int) -> DataFrame:
+def _between_components(shared: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between components that share a bucket of three or more, as pairs of components."""
     member = shared.filter("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # Buckets of the same members say the same; one of them is looked at.
@@ -266,7 +266,7 @@ def _between_components(shared: DataFrame, found: DataFrame, texts: DataFrame, m
     alone = F.xxhash64("component", F.pmod(F.xxhash64("id"), blocks("c")))
     block = F.when(F.col("c") >= BLOCK, alone).otherwise(F.pmod(F.xxhash64("component"), blocks("small")))
     rows = held.join(each.join(small, "bucket", "left"), ["bucket", "component"]).select("bucket", "id", "component", block.alias("block"))
-    rows = cut(rows, most_files)
+    rows = keep(rows)
     block = rows.groupBy("bucket", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     i, j = block.toDF("bucket", "i", "i_lo", "i_hi"), block.toDF("bucket", "j", "j_lo", "j_hi")
     looked = i.join(j, "bucket").filter("i <= j and least(i_lo, j_lo) != greatest(i_hi, j_hi)").select("bucket", "i", "j")
