@@ -210,7 +210,7 @@ def q_cascade_mapping(spark, d):
     found = joins.cascade_lookup(labels, "label", steps)
     # Only notes of the exact step are compared.
     note = steps[1][2].select(F.col("key").alias("nk"), F.col("note").alias("exact_note"))
-    return found.withColumn("nk", X.normalized(key)).join(F.broadcast(note), "nk", "left").select("label", "entity", "method", "entity_name", "exact_note")
+    return found.withColumn("nk", X.normalized(key)).join(joins.sized_broadcast(note), "nk", "left").select("label", "entity", "method", "entity_name", "exact_note")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_type IN ('PROMO', 'STANDARD') THEN 'dictionary' WHEN starts_with(p_name, 's') THEN 'group' WHEN p_brand LIKE '%5' THEN 'suffix' ELSE 'party' END AS label_type,
