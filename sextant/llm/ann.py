@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table
+from .common import keep, prepare, table
 
 PIVOTS, PREFIX, POSTED, PROBED, RERANKED = 256, 256, 24, 32, 0.5
 #: Vectors that pivots are taken from, and the cosine to an earlier pivot from which one tells nothing new.
@@ -73,8 +73,8 @@ class Block:
                 rows = rows[footrule <= np.partition(footrule, wanted - 1)[wanted - 1]]
             score = (self.vectors[rows] * q).sum(1) / (self.norms[rows] * np.sqrt((q * q).sum()))
             if len(rows) > k:
-                keep = score >= np.partition(score, len(rows) - k)[len(rows) - k]
-                rows, score = rows[keep], score[keep]
+                best = score >= np.partition(score, len(rows) - k)[len(rows) - k]
+                rows, score = rows[best], score[best]
             out.append((rows, score))
         return out
 
@@ -108,7 +108,7 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5) ->
     rows = usable(df, id_col, vector_col)
     first = Window.partitionBy("h", "v").orderBy("id")
     entries = rows.withColumn("h", F.xxhash64("v")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
-    entries = cut(entries.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")))  # k + 1 ids each at most
+    entries = keep(entries.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")))  # k + 1 ids each at most
     pivots = choose_pivots(np.array([r.v for r in entries.orderBy("h", "v").limit(PIVOT_SAMPLE).select("v").collect()]))
     schema = "query_id long, ids array<bigint>, score double"
     if len(pivots):

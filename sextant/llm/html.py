@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, table
+from .common import keep, map_rows, table
 
 LEAST_PAGES, LEAST_SHARE = 8, 0.25
 
@@ -272,7 +272,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = pages.schema["id"].dataType.simpleString()
     parsed = map_rows(pages, _parsed, f"id {kind}, url string, key binary, host string, texts array<string>, around array<int>, nodes array<bigint>")
-    found = cut(parsed.select("key", "host", F.array_distinct(F.expr("transform(filter(nodes, (x, i) -> i % 2 = 1), x -> x)")).alias("digests")))
+    found = keep(parsed.select("key", "host", F.array_distinct(F.expr("transform(filter(nodes, (x, i) -> i % 2 = 1), x -> x)")).alias("digests")))
     holding = found.filter("size(digests) > 0").select("key", "host", F.explode("digests").alias("digest"))
     pages_of = found.groupBy("host").agg(F.count("*").alias("n_pages"))
     counted = holding.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
