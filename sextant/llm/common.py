@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +57,6 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df on the executors' disks for further use, with its lineage: what a lost executor held is computed again. It stays until
-    spark.catalog.clearCache()."""
-    prepare(df.sparkSession)
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 #: Numbers that expand() holds in one array.
 EXPANDED_AT_ONCE = 100_000
 
