@@ -227,7 +227,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = cut(map_rows(docs, _hashed, "id long, n_shingles long, key binary, bands array<bigint>"))
     parts = hashed.rdd.getNumPartitions()  # what follows is no larger than the documents
-    classes = cut(hashed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), parts)
+    files = 1 + hashed.count() // EDGES_AT_ONCE
+    classes = hashed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"))
     first = hashed.join(classes.filter(F.col("rep").isNotNull()).select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi")
     banded = first.dropDuplicates(["key", "id"]).select("id", F.explode("bands").alias("bucket"))  # a repeated row is one class
     stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print")).filter("n > 1")
@@ -235,8 +236,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = cut(docs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), parts)
     pairs = shared.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirm(pairs, texts)
-    found = components(links, parts)
-    joined = components(_between_components(shared, found, texts, parts), parts)
+    found = components(links, files)
+    joined = components(_between_components(shared, found, texts, parts), files)
     lifted = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component"))
     # Links of the second kind run between components, or classes that had no link before.
     final = lifted.unionByName(joined.join(found.select("node"), "node", "left_anti"))
