@@ -39,8 +39,16 @@ def cut(df: DataFrame, most_files: int | None = None) -> DataFrame:
     return (df.coalesce(most_files) if most_files else df).checkpoint(eager=True)
 
 
+#: Rows that go to Python in a batch at most, unless the session sets a number of its own. Texts can be long: Spark's default of
+#: 10,000 rows holds hundreds of megabytes of them, twice.
+BATCH_ROWS, DEFAULT_ROWS = 1024, 10_000
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     prepare(df.sparkSession)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) == DEFAULT_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
     return df.mapInArrow(fn, schema)
 
 
