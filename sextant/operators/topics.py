@@ -24,6 +24,8 @@ from .cooccurrence import term_counts
 
 #: Cells of the topic-word table that a fit takes at most; a larger vocabulary needs a higher min_cf.
 MAX_CELLS = 200_000_000
+#: A vocabulary without a bound, of PlainLDA.
+ALL_TERMS = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -222,6 +224,8 @@ class PlainLDA:
 
         rows = self._tokens(df, text)
         self.counts = CountVectorizer(inputCol="_tokens", outputCol="_counts", vocabSize=self.vocabulary, minDF=1).fit(rows)
+        if self.n_topics * len(self.counts.vocabulary) > MAX_CELLS:
+            raise ValueError(f"{self.n_topics} topics x {len(self.counts.vocabulary)} terms; bound the vocabulary")
         lda = LDA(k=self.n_topics, seed=self.seed, maxIter=self.iterations, optimizer="online", subsamplingRate=1.0, optimizeDocConcentration=False, featuresCol="_counts", topicDistributionCol="_topics")
         self.model = lda.fit(self.counts.transform(rows))
         return self

@@ -81,24 +81,19 @@ def q_label_inference(spark, d):
     return t(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).dropna().distinct().groupBy("label").agg(F.count("*").alias("n"))
 
 
-def _short_docs(spark, d):
-    docs = t(spark, d, "documents")
-    return docs.filter(F.length("text") < 1500).select("doc_id", "text", "lang")
-
-
 @query()
 def q_lda_topics(spark, d):
-    """Plain topics of documents, fitted on one language and applied to all."""
-    docs = _short_docs(spark, d)
-    model = T.PlainLDA(6, seed=42, iterations=5, vocabulary=4096).fit(docs, "text")
-    out = model.transform(docs.select("doc_id", "text"), "text")
+    """Plain topics of all documents with terms, over all of their terms."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    model = T.PlainLDA(6, seed=42, iterations=5, vocabulary=T.ALL_TERMS).fit(docs, "text")
+    out = model.transform(docs, "text")
     return out.select("doc_id", F.transform("topics", lambda x: F.round(x, 4)).alias("topics"))
 
 
 @query()
 def q_plda_topics(spark, d):
     """Labelled topics: a block for each language and one latent topic; inference without labels."""
-    docs = _short_docs(spark, d)
+    docs = t(spark, d, "documents").select("doc_id", "text", "lang")
     params = T.Params(topics_per_label=2, latent_topics=1, min_cf=8, rm_top=5)
     model = T.fit_labelled(docs, "doc_id", "text", "lang", ["doc_id"], params, iterations=6, step=3)
     found = T.infer_labelled(docs.select("doc_id", "text"), "doc_id", "text", model, iterations=20)
