@@ -9,7 +9,8 @@ precision. With these numbers recall of the 5 nearest is above 0.95 on 64-dimens
 
 The index is cut into blocks by hash, each with files of its own; every row is indexed. Queries go to all blocks in chunks,
 and a block returns the nearest of each query, of which the best are kept. Equal vectors are one entry that carries the ids
-that can be among the nearest, k + 1 of them: a vector that a third of all rows share is one row of one block.
+that can be among the nearest, the k + 1 smallest distinct ones, each as often as it has rows but k times at most: without a
+query's own, k remain. So a vector that a third of all rows share is one row of one block.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, as queries or otherwise, nor do
 those of another length than most; null ids neither; fewer candidates than k give fewer results; ties go to the smaller id; a
@@ -107,8 +108,10 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5) ->
     prepare(spark)
     rows = usable(df, id_col, vector_col)
     first = Window.partitionBy("h", "v").orderBy("id")
-    entries = rows.withColumn("h", F.xxhash64("v")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
-    entries = cut(entries.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")))  # k + 1 ids each at most
+    each = rows.withColumn("h", F.xxhash64("v")).groupBy("h", "v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    entries = each.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
+    ids = F.sort_array(F.flatten(F.collect_list(F.array_repeat("id", F.col("n")))))
+    entries = cut(entries.groupBy("h", "v").agg(ids.alias("ids")))  # k + 1 distinct ids each at most, k times each
     pivots = choose_pivots(np.array([r.v for r in entries.orderBy("h", "v").limit(PIVOT_SAMPLE).select("v").collect()]))
     schema = "query_id long, ids array<bigint>, score double"
     if len(pivots):

@@ -79,3 +79,14 @@ def test_footrule_order_of_a_block():
         assert set(block.rows[block.begin[p] : block.begin[p + 1]].tolist()) == {i for i in range(50) if p in near[i, : ann.POSTED]}
     for i in range(50):
         assert [block.place[i, p] for p in near[i]] == list(range(20))
+
+
+def test_rows_of_a_query_do_not_crowd_out_equal_vectors(spark):
+    same, other = [1.0, 2.0, 0.0], [2.0, 0.0, 1.0]
+    rows = [(0, same)] * 9 + [(7, same), (8, same), (9, same)] + [(50, other)] * 3 + [(51, other)] * 2 + [(52, other)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for x in ann.search(df, "vec_id", "embedding", lambda i: i % 50 == 0, k=2).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, round(x.score, 9)))
+    assert sorted(got[0]) == [(1, 7, 1.0), (2, 8, 1.0)]
+    assert sorted(got[50]) == [(1, 51, 1.0), (2, 51, 1.0)]  # an entry for each row
