@@ -104,3 +104,13 @@ def test_empty_and_repeated_documents(spark, tmp_path):
     for _, stage in C.STAGES:
         empty = stage(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(spark, tmp_path):
+    once, again = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, once, "en", "s", 19), (2, again, "en", "s", 19), (2, "u v w x y z 1 2 3 4", "en", "s", 19), (3, once, "en", "s", 19), (3, "5 6 7 8 9 10 11 12 13", "en", "s", 21), (4, None, "en", "s", None), (4, again, "en", "s", 19)]
+    rows += [rows[2], (None, "alone", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = C.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[1], rows[2], rows[4], rows[5], rows[8]], key=str)
