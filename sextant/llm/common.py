@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -21,15 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Let Python workers find this package, and have a checkpoint folder.
 
-    The folder is the one the session names in spark.checkpoint.dir. Only where that is unset (local runs, tests) is a
-    temporary one taken.
+    The folder is the one the session names in spark.checkpoint.dir. Where that is unset, a local run (tests) takes a
+    temporary one; on a cluster, where executors wouldn't share it, that is an error.
     """
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in known.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame, most_files: int | None = None) -> DataFrame:
@@ -39,16 +43,18 @@ def cut(df: DataFrame, most_files: int | None = None) -> DataFrame:
     return (df.coalesce(most_files) if most_files else df).checkpoint(eager=True)
 
 
-#: Rows that go to Python in a batch at most, unless the session sets a number of its own. Texts can be long: Spark's default of
-#: 10,000 rows holds hundreds of megabytes of them, twice.
-BATCH_ROWS, DEFAULT_ROWS = 1024, 10_000
+#: Bytes that go to Python in a batch (a longer row makes a batch of its own). Texts can be long: Spark's default of 10,000 rows
+#: or 64 MB is held several times over while it is worked on.
+BATCH_BYTES = 4 << 20
+BATCH_SETTINGS = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, unless the session sets a bound of its own, of bytes or of rows."""
     prepare(df.sparkSession)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(name)) == DEFAULT_ROWS:
-        df.sparkSession.conf.set(name, BATCH_ROWS)
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    if not any(conf.contains(name) for name in BATCH_SETTINGS):
+        df.sparkSession.conf.set(BATCH_SETTINGS[0], BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 

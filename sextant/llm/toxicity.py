@@ -6,7 +6,8 @@ both directions, attention pools their states, and a logistic unit scores the wi
 they overlap and every token is in one; a document's score is the highest of its windows'.
 
 Training takes a bounded sample: of the labelled documents that may be learnt from, SAMPLE_EACH of either label with the
-smallest hashes, without texts of over SAMPLE_CHARS characters. The first epochs learn from random windows, the later ones
+smallest hashes. Of a text of over SAMPLE_CHARS characters a stretch of so many is learnt from, at a place given by the id's
+hash. One task on an executor holds the sample and trains; only the model, of a fixed size, reaches the driver. The first epochs learn from random windows, the later ones
 from each document's highest scoring window and a random one of the label-0 documents. Scores are shifted from the sample's
 share of label 1 to that among all rows that may be learnt from.
 
@@ -16,6 +17,7 @@ Cases: a null or empty text scores as a window of no tokens; without labels of b
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-SAMPLE_EACH, SAMPLE_CHARS = 1500, 20_000
+SAMPLE_EACH, SAMPLE_CHARS = 1500, 50_000
 WINDOW, STRIDE = 48, 32
 HIDDEN, DIM, ATTENTION, WORD_ROWS, GRAM_ROWS = 16, 16, 16, 1 << 13, 1 << 14
 GRAM_SIZES = (3, 5)
@@ -314,10 +316,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
     sample = known.filter("y = 1").orderBy("h", "id").limit(each).unionByName(known.filter("y = 0").orderBy("h", "id").limit(each))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter((F.length("text") <= chars) & may_learn("id"))
-    rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"), F.max("h").alias("h")).collect()  # 2 x each at most
-    rows.sort(key=lambda r: (r.h, r.id))
-    return train([r.text for r in rows], [r.y for r in rows], share)
+    size, text = F.length("text"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    stretch = F.when(size <= chars, F.col("text")).otherwise(F.substring(F.col("text"), (F.pmod("h", size - chars + 1) + 1).cast("int"), F.lit(chars)))
+    texts = docs.select(F.col(id_col).alias("id"), text).filter(may_learn("id"))
+    rows = texts.join(F.broadcast(sample), "id").select("id", "h", "y", stretch.alias("text")).groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"), F.max("h").alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(4)))]
+        held.sort(key=lambda r: (r[1], r[0]))
+        model = train([r[3] for r in held], [r[2] for r in held], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    one = map_rows(rows.select("id", "h", "y", "text").repartition(1), run, "model binary").collect()  # 2 x each rows go in, one comes out
+    return pickle.loads(one[0].model) if one else train([], [], share)
 
 
 def score_table(df: DataFrame, text_col: str, model: Model, name: str = "score") -> DataFrame:

@@ -76,3 +76,72 @@ def test_no_labels_and_clashing_names(spark):
     model = T.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [(r.doc_id, r.score) for r in T.score_table(docs, "text", model).orderBy("doc_id").collect()] == [(1, 0.0), (2, 0.0)]
     assert T.score_table(docs.limit(0), "text", model).count() == 0
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h = ((h ^ h >> 31) * 0x7FB5D329728EA185) & M64
+    return h ^ h >> 29
+
+
+def plain_score(m, text):
+    """Windows, inputs, both recurrent layers, attention and the logistic unit by loops over single tokens and numbers."""
+    factors = [int(x) for x in T.GRAM_FACTORS]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    words = (text or "").lower().split()
+
+    def read(token):
+        raw = b"\2" + token.strip(T.ENDS).encode() + b"\3"
+        word = sum(plain_mix((b + (i + 1) * factors[0]) & M64) for i, b in enumerate(raw)) & M64
+        grams = []
+        for n in T.GRAM_SIZES:
+            for i in range(len(raw) - n + 1):
+                grams.append((plain_mix((n + sum((raw[i + k] + 1) * factors[k] for k in range(n))) & M64) >> 20) % T.GRAM_ROWS)
+        mean = sum((m["gram"][g].astype(float) for g in grams), np.zeros(T.DIM)) / max(1, len(grams))
+        return np.concatenate([m["word"][plain_mix(word) % T.WORD_ROWS].astype(float), mean])
+
+    def pass_over(tokens, d):
+        h, states, n = np.zeros(T.HIDDEN), [], T.HIDDEN
+        for x in tokens:
+            a, b = x @ m[f"w{d}"] + m[f"c{d}"], h @ m[f"u{d}"]
+            z, r = sigmoid(a[:n] + b[:n]), sigmoid(a[n : 2 * n] + b[n : 2 * n])
+            c = np.tanh(a[2 * n :] + r * b[2 * n :])
+            h = z * h + (1 - z) * c
+            states.append(h)
+        return states
+
+    best, first = None, 0
+    while True:
+        tokens = [read(w) for w in words[first : first + T.WINDOW]]
+        states = [np.concatenate(p) for p in zip(pass_over(tokens, "f"), reversed(pass_over(tokens[::-1], "b")))]
+        weight = [np.exp(np.tanh(s @ m["a"]) @ m["v"]) for s in states]
+        pooled = sum((w * s for w, s in zip(weight, states)), np.zeros(2 * T.HIDDEN)) / max(sum(weight), 1e-9)
+        logit = pooled @ m["o"] + m["bias"][0]
+        best = logit if best is None else max(best, logit)
+        if first + T.WINDOW >= len(words):
+            return sigmoid(best)
+        first += T.STRIDE
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    rows = list(corpus(60))
+    model = T.train([t for t, _ in rows], [y for _, y in rows], 0.25, epochs=2)
+    texts = [None, "", " \n ", "Idjot!", "ärger ÄRGER (so)", *(t for t, _ in rows[:12]), " ".join(t for t, _ in rows[:8])]
+    got = T.Scorer(model).score(texts)
+    assert np.abs(got - np.array([plain_score(model, t) for t in texts])).max() < 1e-4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in T.score_table(docs, "text", model).collect()}
+    assert max(abs(found[i] - got[i]) for i in found) < 1e-5
+
+
+def test_long_texts_are_learnt_from(spark):
+    """With a bound of 400 characters all texts are long; a stretch of each still tells the labels apart."""
+    r = random.Random(4)
+    rows = [(" ".join(r.choice(("idjot", "skumm") if i % 2 else ("la", "lu", "mi")) for _ in range(300)), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"), chars=400)
+    assert "constant" not in model
+    got = T.Scorer(model).score([t for t, _ in rows])
+    assert all((s >= 0.3) == bool(y) for s, (_, y) in zip(got, rows))
