@@ -1,10 +1,12 @@
 """Media columns: TIFF files in a binary column, read to one row per page, and a writer for lossless 8-bit storage.
 
 The reader walks the chain of image file directories (either byte order), decodes strips or tiles stored raw, by PackBits,
-LZW or deflate, undoes the horizontal predictor and returns the samples of every page.
+LZW or deflate, in one plane or a plane for each sample, undoes the horizontal predictor and returns the samples of every page.
 
 Cases: a null or empty file gives no page; a file that is not a TIFF, is truncated or uses a feature outside this list gives
-one row with page -1 and the reason in `error`; a chain of directories that loops ends at the first one seen twice.
+one row with page -1 and the reason in `error`, and none of its pages; so does a directory whose sizes don't fit its strips or
+tiles, before memory is taken by what it claims; a chain of directories that loops ends at the first one seen twice. Null and
+repeated ids are carried along; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .common import map_rows, table, utf8
 
 # Fixed values of the TIFF 6.0 format: tags, field types (struct codes), compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
-STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
+STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 RAW, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
@@ -104,7 +106,9 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out) + (bits << pad).to_bytes((n_bits + pad) // 8, "big")
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """most: bytes after which it is enough."""
+    left = len(data) * 4096 if most is None else most
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
     entries, width, last, out = list(base), 9, None, []
     buffer, n_bits, at, n = 0, 0, 0, len(data)
@@ -137,17 +141,21 @@ def lzw_decode(data: bytes) -> bytes:
                 width += 1
         out.append(entry)
         last = entry
+        left -= len(entry)
+        if left <= 0 and most is not None:
+            return b"".join(out)
 
 
-def inflate(data: bytes, scheme: int) -> bytes:
+def inflate(data: bytes, scheme: int, size: int) -> bytes:
+    """A strip or tile that unpacks to size bytes; no more than those (and a code's worth) are unpacked."""
     if scheme == RAW:
         return data
     if scheme == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data)  # 64 times its length at most
     if scheme == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if scheme in (DEFLATE, DEFLATE_OLD):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(1, size))
     raise ValueError(f"compression {scheme}")
 
 
@@ -173,19 +181,26 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     if bits not in (8, 16) or predictor not in (1, 2):
         raise ValueError(f"{bits} bits, predictor {predictor}")
     kind = np.dtype(np.uint8) if bits == 8 else np.dtype(np.uint16).newbyteorder(order)
-    tiled = TILE_OFFSETS in tags
-    across, down = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, one(ROWS_PER_STRIP, height) or height)
+    tiled, planes = TILE_OFFSETS in tags, samples if one(PLANAR, 1) == 2 else 1
+    across, down = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height) or height, height))
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
-    page, per_row = np.zeros((height, width, samples), kind.newbyteorder("=")), -(-width // across) if across else 1
+    if min(width, height, samples, across, down) < 1:
+        raise ValueError(f"{width} x {height} pixels of {samples} samples in parts of {across} x {down}")
+    per_row, per_column = -(-width // across), -(-height // down)
+    if per_row * per_column * planes != len(offsets):
+        raise ValueError(f"{len(offsets)} strips or tiles for {width} x {height} pixels")
+    deep, parts = samples // planes, []
     for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
-        top, left = k // per_row * down, k % per_row * across
-        rows = down if tiled else min(down, height - top)
-        raw = inflate(data[offset : offset + count], scheme)
-        part = np.frombuffer(raw, kind, rows * across * samples).reshape(rows, across, samples)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-        h, w = min(rows, height - top), min(across, width - left)
-        page[top : top + h, left : left + w] = part[:h, :w]
+        rows = down if tiled else min(down, height - k % per_column * down)
+        raw = inflate(data[offset : offset + count], scheme, rows * across * deep * kind.itemsize)
+        part = np.frombuffer(raw, kind, rows * across * deep).reshape(rows, across, deep)
+        parts.append(np.cumsum(part, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else part)
+    page = np.zeros((height, width, samples), kind.newbyteorder("="))  # the parts, which are there, cover it
+    for k, part in enumerate(parts):
+        plane, at = divmod(k, per_row * per_column)
+        top, left = at // per_row * down, at % per_row * across
+        h, w = min(len(part), height - top), min(across, width - left)
+        page[top : top + h, left : left + w, plane * deep : (plane + 1) * deep] = part[:h, :w]
     return page
 
 
@@ -252,14 +267,14 @@ def tiff_pages(df: DataFrame, id_col: str, file_col: str) -> DataFrame:
 def _pages_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for lo in range(0, len(ids), 256):  # so many files' pages at a time
+        for lo in range(0, len(ids), 64):  # so many files' pages at a time
             rows, take = [], []
-            for i, data in enumerate(batch.column(1).slice(lo, 256).to_pylist(), lo):
+            for i, data in enumerate(batch.column(1).slice(lo, 64).to_pylist(), lo):
                 if not data:
                     continue
                 try:
                     found = [(k, p.shape[1], p.shape[0], p.shape[2], p.tobytes(), None) for k, p in enumerate(read_pages(data))]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
                     found = [(-1, None, None, None, None, f"{type(e).__name__}: {e}")]
                 rows += found
                 take += [i] * len(found)
@@ -268,17 +283,22 @@ def _pages_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "page", "width", "height", "samples", "pixels", "error"])
 
 
-LINE = 64
+#: Bytes in a row of a stored page, and rows of a page at most: longer payloads take several pages.
+LINE, PAGE_ROWS = 64, 2048
 
 
 def store_bytes(payload: bytes) -> bytes:
-    """A payload of whole lines of 64 bytes as a grey page. Its CRC picks the scheme, so equal payloads are stored alike."""
-    page, pick = np.frombuffer(payload, np.uint8).reshape(-1, LINE), zlib.crc32(payload) % 8
+    """A payload of whole lines of 64 bytes as grey pages. Its CRC picks the scheme, so equal payloads are stored alike."""
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, LINE)
+    pages = [rows[top : top + PAGE_ROWS] for top in range(0, len(rows), PAGE_ROWS)]
+    pick = zlib.crc32(payload) % 3
     if pick == 0:
-        return write_tiff([page], LZW, rows_per_strip=128)
-    if pick < 4:
-        return write_tiff([page], PACKBITS, tile=(64, 64))
-    return write_tiff([page], DEFLATE, predictor=2)
+        return write_tiff(pages, LZW, rows_per_strip=128)
+    return write_tiff(pages, PACKBITS, tile=(64, 64)) if pick == 1 else write_tiff(pages, DEFLATE, predictor=2)
+
+
+def _sha(x: bytes) -> str:
+    return hashlib.sha256(x).hexdigest()
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,31 +307,54 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 256)
             raw = [utf8(x) for x in part.column(1).to_pylist()]
             files = [store_bytes(x + b"\0" * (-len(x) % LINE if x else LINE)) for x in raw]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            told = [pa.array([len(x) for x in raw], pa.int64()), pa.array(map(len, files), pa.int64()), pa.array(map(_sha, files), pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *told, pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "media"])
+
+
+class _Payload:
+    """Digests of a payload whose pages come one by one."""
+
+    def __init__(self, about: dict):
+        self.about, self.sha, self.counts, self.shapes, self.size, self.tail = about, hashlib.sha256(), np.zeros(256, np.int64), [], 0, b""
+
+    def add(self, width: int, height: int, pixels: bytes) -> None:
+        self.sha.update(pixels)
+        self.counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+        self.shapes.append(f"{width}x{height}")
+        self.size, self.tail = self.size + len(pixels), (self.tail + pixels)[-LINE:]
 
+    def row(self) -> dict:
+        share, value = self.counts / self.size, np.arange(256)
+        mean = (share * value).sum()
+        spread = np.sqrt((share * (value - mean) ** 2).sum())
+        seen = share[share > 0]
+        feature = f"{'+'.join(self.shapes)};mean={mean:.6f};std={spread:.6f};entropy={-(seen * np.log2(seen)).sum() + 0.0:.6f}"
+        return self.about | {"payload_bytes": self.size, "payload_sha256": self.sha.hexdigest(), "tail_crc32": zlib.crc32(self.tail), "feature": feature}
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sha = lambda x: hashlib.sha256(x).hexdigest()
+
+DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows as tiff_pages gives them, where the pages of a file stand together and begin with page 0: a row for each file."""
+    last: _Payload | None = None
     for batch in batches:
-        ids = batch.column(0)
-        for lo in range(0, batch.num_rows, 256):
-            rows = []
-            for data in batch.column(2).slice(lo, 256).to_pylist():
-                (page,) = read_pages(data)
-                payload = page.tobytes()
-                share = np.bincount(page.ravel(), minlength=256) / page.size
-                share = share[share > 0]
-                feature = f"{page.shape[1]}x{page.shape[0]};mean={page.mean():.6f};std={page.std():.6f};entropy={-(share * np.log2(share)).sum() + 0.0:.6f}"
-                rows.append((len(payload), sha(payload), zlib.crc32(payload[-LINE:]), len(data), sha(data), feature))
-            n = len(rows)
-            columns = list(zip(*rows)) or [()] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, n), batch.column(1).slice(lo, n), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
+        rows = []
+        for about, page, width, height, pixels, error in zip(*(batch.column(name).to_pylist() for name in ("about", "page", "width", "height", "pixels", "error"))):
+            if error is not None:
+                raise ValueError(f"document {about['doc_id']}: {error}")  # what was stored can always be read
+            if page == 0:
+                rows += [last.row()] if last else []
+                last = _Payload(about)
+            last.add(width, height, pixels)
+        yield pa.RecordBatch.from_pylist(rows, DIGESTS)
+    if last:
+        yield pa.RecordBatch.from_pylist([last.row()], DIGESTS)
 
 
 def op8_tiff(spark, sf_dir):
-    """Every document's text through a stored TIFF file and back, with digests of what was read."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    media = map_rows(docs, _stored, "doc_id long, n_bytes long, media binary")
-    return map_rows(media, _digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Every document's text through a stored TIFF file and its pages back, with digests of what was read."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    media = map_rows(docs, _stored, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, media binary")
+    pages = tiff_pages(media.select(F.struct("doc_id", "n_bytes", "media_bytes", "media_sha256").alias("about"), "media"), "about", "media")
+    return map_rows(pages, _digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
