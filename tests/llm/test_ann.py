@@ -69,16 +69,46 @@ def test_few_and_none(spark):
     assert ann.search(df.limit(0), "vec_id", "embedding", lambda i: i % 50 == 0).count() == 0
 
 
-def test_footrule_order_of_a_block():
+def test_files_give_the_footrule_distance(monkeypatch):
+    monkeypatch.setattr(ann, "PREFIX", 6)
     r = np.random.default_rng(1)
     x, pivots = r.normal(size=(50, 8)), r.normal(size=(20, 8))
     pivots /= np.linalg.norm(pivots, axis=1)[:, None]
     block = ann.Block(x, pivots)
     near = block.nearest(x)
+    assert all(near[i].tolist() == np.argsort(-(pivots @ x[i]))[:6].tolist() for i in range(50))
     for p in range(20):
-        assert set(block.rows[block.begin[p] : block.begin[p + 1]].tolist()) == {i for i in range(50) if p in near[i, : ann.POSTED]}
-    for i in range(50):
-        assert [block.place[i, p] for p in near[i]] == list(range(20))
+        assert set(block.rows[block.begin[p] : block.begin[p + 1]].tolist()) == {i for i in range(50) if p in near[i]}
+    place = lambda i, p: near[i].tolist().index(p) if p in near[i] else 6
+    saved = block.saved(near[:10])
+    for q in range(10):
+        for i in range(50):
+            assert sum(abs(place(q, p) - place(i, p)) for p in range(20)) == 2 * sum(range(1, 7)) - 2 * saved[q, i]
+
+
+def test_a_sixteenth_is_reranked_without_structure():
+    r = np.random.default_rng(9)
+    x = r.normal(size=(8000, 64))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    block, hit, queries = ann.Block(x, ann.choose_pivots(x[: ann.PIVOT_SAMPLE])), 0, range(0, 8000, 50)
+    for q, (rows, score) in zip(queries, block.search(x[list(queries)], 6)):
+        hit += len({i for i in rows[np.argsort(-score, kind="stable")][:6].tolist() if i != q} & set(np.argsort(-(unit @ unit[q]))[1:6].tolist()))
+    assert hit / (5 * len(queries)) >= 0.9 and block.reranked / (len(queries) * len(x)) < 0.075
+
+
+def test_each_length_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(ann, "INDEXED_LENGTHS", 1)
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=(3, 3, 2)[i % 3]).tolist()) for i in range(120)] + [(200, [1.0] * 5)]
+    got = {}
+    for x in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", lambda i: i % 10 == 0).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id))
+    vectors = {i: np.array(v) for i, v in rows}
+    cosine = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
+    for q in range(0, 120, 10):
+        best = sorted((-cosine(vectors[q], v), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:5]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in best]
+    assert 200 not in got
 
 
 def test_rows_of_a_query_do_not_crowd_out_equal_vectors(spark):
