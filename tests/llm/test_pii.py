@@ -42,7 +42,7 @@ def test_base_spans_match_plain_patterns():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "@a" * 150_000, "+1" + " " * 300_000, "+1 " * 100_000):
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "@a" * 150_000, "+1" + " " * 300_000, "+1 " * 100_000, "password=" * 40_000, "password = " * 30_000, "=" * 300_000, "Dr. " * 80_000, "Dr. Xa1 " * 30_000, "4539148803436467 " * 15_000):
         pii.find_spans([text], pii.fit([]))
 
 
@@ -114,3 +114,50 @@ def test_added_spans(spark, tmp_path):
 def test_masks_overlaps_once():
     assert pii.masked("ab12345cd", [(2, 2, 5), (3, 4, 7)]) == "ab<CARD>cd"
     assert pii.fit([])["unary"].sum() == 0
+
+
+def consistent(n, seed=3):
+    """Passwords with a cue once and bare further on, beside as many words of the same shape that are none."""
+    r = random.Random(seed)
+    new = lambda: "".join(r.choice("bcdfgklm") + r.choice("aeiou") for _ in range(3)) + str(r.randrange(10, 99))
+    for _ in range(n):
+        words = [r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20)] + [new() for _ in range(4)]
+        r.shuffle(words)
+        secret = new()
+        yield " ".join([f"password = {secret}", *words, secret, *words[:3]]), secret
+
+
+def test_what_is_linked_is_labelled_alike(spark):
+    """A bare password looks like any other word with digits: only the skip edge to where its cue stands tells it."""
+    w = pii.fit([t for t, _ in consistent(300)])
+    texts, secrets = zip(*consistent(60, 8))
+    found = pii.added_spans(list(texts), [pii.base_spans(t) for t in texts], w)
+    places = [[m.start() for m in re.finditer(rf"\b{s}\b", t)] for t, s in zip(texts, secrets)]
+    assert all(len(p) == 2 for p in places)
+    assert sum([s for _, s, _ in f] == p for f, p in zip(found, places)) >= 48
+    without = pii.added_spans(list(texts), [pii.base_spans(t) for t in texts], w | {"skip": np.zeros((pii.K, pii.K))})
+    assert all(p[0] in [s for _, s, _ in f] for f, p in zip(without, places)) and not any(p[1] in [s for _, s, _ in f] for f, p in zip(without, places))
+
+
+def test_secrets_and_names():
+    r = random.Random(1)
+    hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    names = ["Meyer", "Moreau", "García", "Smith", "Ivanova"]
+    texts = []
+    for i in range(200):
+        name = r.choice(names)
+        texts.append(f"We met Dr. {name} in Room {i} on 12.4.{2000 + i % 20}. Then {name} left. " + r.choice([f'token = "{hexes()}"', f"password={hexes()[:18]}", "AKIA" + "".join(r.choice("ABCXYZ0123") for _ in range(16)), f"id {r.randrange(10**15)}"]) + " was read.")
+    w = pii.fit(texts)
+    text = 'Herr Okafor saw Okafor, said Okafor. Use api_key: "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" or password=09fca1b2c3d4e5f6a7 now, not 123456789012345 or Room 7.'
+    (found,) = pii.added_spans([text], [pii.base_spans(text)], w)
+    assert sorted((pii.LABELS[k], text[a:b]) for k, a, b in found) == [("name", "Okafor")] * 3 + [("secret", "09fca1b2c3d4e5f6a7"), ("secret", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b")]
+    assert pii.masked(text, found).startswith("Herr <NAME> saw <NAME>, said <NAME>.")
+
+
+def test_a_secret_may_cover_a_base_span():
+    known = pii._merged([(2, 10, 20), (3, 18, 25), (0, 40, 50)])
+    assert known == ([10, 40], [25, 50])
+    cases = [((0, 10), False), ((0, 11), True), ((25, 40), False), ((24, 30), True), ((41, 42), True), ((50, 60), False)]
+    assert all(pii._touches(known, *span, False) == touches for span, touches in cases)
+    assert not pii._touches(known, 8, 26, True) and not pii._touches(known, 10, 50, True) and pii._touches(known, 12, 26, True) and pii._touches(known, 8, 45, True)
+    assert pii.joined([(4, 9, 12), (0, 3, 4), (2, 1, 2)]) == "email:3:4,card:1:2,secret:9:12"
