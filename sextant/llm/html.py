@@ -1,32 +1,34 @@
-"""Main text of web pages, with removal of what a site repeats.
+"""Main text of web pages: site template removal by subtree hashes, then structure and names for what differs between pages.
 
-Every page is parsed once in time linear in its length into elements and blocks of text. Structure tells most of what is not
-the article: navigation, page headers, footers, sidebars, forms, scripts, styles, hidden parts, and elements whose class, id
-or role names an advert, a notice, comments and the like. What remains belongs to the longest article element, else to main,
-else to the body.
+Every page is parsed in time linear in its length into elements and blocks of text.
 
-Site templates: the subtree of each element is hashed over its tag, text and children; the pages of a host that hold a hash
-are counted in Spark, and subtrees that at least LEAST_PAGES pages and the share LEAST_SHARE of the host's pages hold are
-deleted. Paragraphs, headings and the like within an article element are its own words, however many pages quote them, and
-are never taken for a template; other elements inside, and all elements where there is no article, can be.
+1. Site templates: the subtree of each block element of the whole page, menus, headers and footers among them, is hashed over
+   its tag, text and children, and the pages of a host that hold a hash are counted in Spark. Subtrees that at least
+   LEAST_PAGES different pages and the share LEAST_SHARE of the host's different pages hold are deleted. Paragraphs, headings
+   and the like within an article or main element are its own words, however many pages quote them, and are never taken for a
+   template; other elements inside, and all elements where there is neither, can be.
+2. What no count can find, as it changes from page to page (adverts, comments, the menu that marks its page) or as the host has
+   too few pages, goes by structure: navigation, page headers, footers, sidebars, forms, scripts, styles, hidden parts, and
+   elements whose class, id or role names an advert, a notice, comments and the like.
+3. What remains of all article elements is the text; of main elements where there is no article; else of the body.
 
-Hashes are counted with map-side sums, so a host with a third of all pages is no hot task; a page's hits come back by a join
-on its own key, and no table of templates is broadcast.
+Hashes are counted with map-side sums, so a host with a third of all pages is no hot task. What comes back are templates by
+host, few as each takes a share of the host's pages; they are broadcast where their size is small, and else joined by host.
 
 Cases: null or empty html, or a page without an article's text, gives an empty string; null urls make one host without a name;
-repeated rows count as pages each and get equal texts; tags that are never closed end with the page; a page_id that is null or
-repeated is carried along.
+repeated rows and pages of equal html count as one page and get equal texts; tags that are never closed end with the page; a
+page_id that is null or repeated is carried along.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_rows, table
@@ -36,7 +38,7 @@ LEAST_PAGES, LEAST_SHARE = 8, 0.25
 # Names of HTML elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template".split())
-DROPPED = frozenset("nav footer aside form menu dialog select button svg math object canvas audio video map head datalist".split())
+DROPPED = frozenset("nav footer aside form menu dialog select button svg object canvas audio video map head datalist".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split()
 )
@@ -55,26 +57,30 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup paywall nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer masthead topbar toolbar social share sharing related recommended comment comments reply replies disqus respond pagination pager search login hidden".split()
 )
+#: Of these, the ones that tell of an article element that it isn't the page's own.
+ARTICLE_NAMES = frozenset("comment comments reply replies ad advert promo related teaser teasers".split())
 MODIFIERS = frozenset(("has", "with", "without", "no", "not", "is", "js"))
 PAGE_HEADS = frozenset(("header", "masthead"))
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<[a-zA-Z/!?][^>]*+(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z0-9]+")
-HOST = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+#: Bytes of templates up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 
 class Page:
     """The block elements of a page as nodes (the page itself is node 0, parents come first), and its blocks of text.
 
-    Inline elements neither begin nor end a block and are passed over, unless they are dropped with what is in them.
+    Inline elements neither begin nor end a block and are passed over, unless they are skipped with what is in them.
     """
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.inside, self.digest = [0], [""], [False], [0]
+        self.parent, self.tag, self.inside, self.digest, self.named = [0], [""], [False], [0], [False]
         self.blocks: list[tuple[str, int]] = []
-        self._stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, dropped
+        self._stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, skipped
         self._open: dict[str, int] = {}
         self._parts: list[list[str]] = [[]]  # of each node, what its digest is made of
         self._buffer: list[str] = []
@@ -122,23 +128,25 @@ class Page:
             closed, bounds = CLOSES[tag]
             while stack[-1][0] and self._closes_sibling(closed, bounds):
                 pass
-        _, node, dropped = stack[-1]
+        _, node, skipped = stack[-1]
         block = tag in BLOCKS
         if block:
             self._end_block()
-        if not dropped:
+        if not skipped:
             inside = self.inside[node]
-            dropped = tag in DROPPED or (tag == "header" and not inside) or ("=" in attributes or "hidden" in attributes) and unwanted(tag, attributes, inside)
-            if block and not dropped:
+            named = tag in DROPPED or (tag == "header" and not inside) or ("=" in attributes or "hidden" in attributes) and unwanted(tag, attributes, inside)
+            if block:
                 self.parent.append(node)
+                self.named.append(named or self.named[node])
                 node = len(self.tag)
                 self.tag.append(tag)
                 self.inside.append(inside or tag in ("article", "main"))
                 self.digest.append(0)
                 self._parts.append([])
-            elif not dropped:
+            elif not named:
                 return  # inline
-        stack.append((tag, node, dropped))
+            skipped = named and not block
+        stack.append((tag, node, skipped))
         open_tags[tag] = open_tags.get(tag, 0) + 1
 
     def _closes_sibling(self, closed: tuple[str, ...], bounds: tuple[str, ...]) -> bool:
@@ -162,18 +170,17 @@ class Page:
             self._close()
 
     def _close(self) -> None:
-        tag, node, dropped = self._stack.pop()
-        self._open[tag] -= 1
-        if tag in BLOCKS and not dropped:
-            self._stack.append((tag, node, dropped))
+        tag, node, skipped = self._stack[-1]
+        if tag in BLOCKS and not skipped:
             self._end_block()
-            self._stack.pop()
             if parts := self._parts[node]:
                 h = xxhash.xxh3_64_intdigest(f"{tag}\x1e" + "\x1f".join(parts)) >> 1 or 1
                 self._parts[self.parent[node]].append(f"\x1d{h}")
                 parts.clear()
                 if tag not in ("html", "body", "article", "main") and not (self.inside[node] and tag in PROSE):
                     self.digest[node] = h
+        self._stack.pop()
+        self._open[tag] -= 1
 
     def _end_block(self) -> None:
         text = " ".join("".join(self._buffer).split())
@@ -183,40 +190,17 @@ class Page:
             self.blocks.append((text, node))
             self._parts[node].append(text)
 
-    def main(self) -> list[tuple[str, int]]:
-        """The blocks of the longest article; without any, those of the longest main; without any, all."""
-        region, size = [0] * len(self.tag), [0] * len(self.tag)
+    def main(self, templates: Container[int] = ()) -> list[tuple[str, int]]:
+        """The blocks of the articles; without any, those of the mains; without any, all. Blocks in an element whose digest is
+        among the templates, or that names drop, take no part."""
+        gone, region = list(self.named), [0] * len(self.tag)
         for node in range(1, len(self.tag)):
-            above = region[self.parent[node]]
-            region[node] = node if self.tag[node] == "article" and self.tag[above] != "article" or self.tag[node] == "main" and not above else above
-        for text, node in self.blocks:
-            size[region[node]] += len(text)
-        for wanted in ("article", "main"):
-            longest = max((k for k in range(1, len(size)) if size[k] and self.tag[k] == wanted), key=lambda k: (size[k], -k), default=0)
-            if longest:
-                return [(t, k) for t, k in self.blocks if region[k] == longest]
-        return self.blocks
-
-    def candidates(self, blocks: list[tuple[str, int]]) -> tuple[list[int], list[int]]:
-        """Of each block, the innermost element around it that may be a template (-1: none), as a place in the second list;
-        and each such element as two numbers: the place of the next one around it (or -1) and its digest."""
-        place: dict[int, int] = {}
-        nodes: list[int] = []
-
-        def at(node: int) -> int:
-            chain = []
-            while node and node not in place:
-                chain.append(node)
-                node = self.parent[node]
-            last = place.get(node, -1)
-            for k in reversed(chain):
-                if self.digest[k]:
-                    nodes.extend((last, self.digest[k]))
-                    last = len(nodes) // 2 - 1
-                place[k] = last
-            return last
-
-        return [at(node) for _, node in blocks], nodes
+            up = self.parent[node]
+            gone[node] = gone[node] or gone[up] or self.digest[node] in templates
+            region[node] = 2 if self.tag[node] == "article" else max(region[up], int(self.tag[node] == "main"))
+        blocks = [(t, k) for t, k in self.blocks if not gone[k]]
+        best = max((region[k] for _, k in blocks), default=0)
+        return [(t, k) for t, k in blocks if region[k] == best]
 
 
 def unwanted(tag: str, attributes: str, inside: bool) -> bool:
@@ -231,58 +215,53 @@ def unwanted(tag: str, attributes: str, inside: bool) -> bool:
             parts = [WORD.findall(c) for c in value.split()]
             words = {w for c in parts if c and c[0] not in MODIFIERS for w in c}
             if tag == "article":
-                words &= {"comment", "comments", "reply", "replies", "ad", "advert", "promo", "related"}
-            if words & NAMES or not inside and words & PAGE_HEADS:
+                words &= ARTICLE_NAMES
+            if words & (ARTICLE_NAMES if tag == "article" else NAMES) or not inside and words & PAGE_HEADS:
                 return True
     return False
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (id, url, html): a key of the content, the host, the blocks of the main text and what may be templates there."""
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (host, key, html): the host, the key and the distinct digests of the page."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
-            part, rows = batch.slice(lo, 256), []
-            for url, html in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                page = Page(html or "")
-                blocks = page.main()
-                around, nodes = page.candidates(blocks)
-                host = HOST.match(url or "")
-                rows.append((xxhash.xxh3_128_digest(f"{url}\0{html}".encode("utf-8", "replace")), host[1].lower() if host else "", [t for t, _ in blocks], around, nodes))
-            columns = list(zip(*rows)) or [()] * 5
-            types = [pa.binary(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "url", "key", "host", "texts", "around", "nodes"])
-
-
-def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (id, url, texts, around, nodes, hits): the text without blocks in an element whose digest is hit."""
+            part = batch.slice(lo, 256)
+            held = [sorted(set(Page(html or "").digest) - {0}) for html in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(held, pa.list_(pa.int64()))], names=["host", "key", "digests"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, url, html, templates): the text without the templates."""
     for batch in batches:
-        out = []
-        for texts, around, nodes, hits in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-            if hits:
-                hit, bad = set(hits), []
-                for k in range(0, len(nodes), 2):
-                    bad.append(nodes[k + 1] in hit or nodes[k] >= 0 and bad[nodes[k]])
-                texts = [t for t, k in zip(texts, around) if k < 0 or not bad[k]]
-            out.append("\n".join(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["id", "url", "text", "n_chars"])
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            out = ["\n".join(t for t, _ in Page(html or "").main(frozenset(found or ()))) for html, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["id", "url", "text", "n_chars"])
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+
+
+def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, templates): of rows (host, html), the digests that enough of a host's different pages hold."""
+    keyed = pages.select("host", F.xxhash64(F.coalesce("html", F.lit(""))).alias("key"), "html")
+    each = map_rows(keyed, _subtrees, "host string, key long, digests array<bigint>").dropDuplicates(["host", "key"])
+    pages_of = each.groupBy("host").agg(F.count("*").alias("n_pages"))
+    counted = each.select("host", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    found = counted.join(pages_of, "host").filter(F.col("n") >= least_share * F.col("n_pages"))
+    # A page holds so many digests, and a template a share of the pages: so an array is at most 1 / least_share pages long.
+    return found.groupBy("host").agg(F.collect_list("digest").alias("templates"))
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """id_col, url_col, text (blocks joined by line ends) and n_chars of every row."""
-    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
     kind = pages.schema["id"].dataType.simpleString()
-    parsed = map_rows(pages, _parsed, f"id {kind}, url string, key binary, host string, texts array<string>, around array<int>, nodes array<bigint>")
-    found = cut(parsed.select("key", "host", F.array_distinct(F.expr("transform(filter(nodes, (x, i) -> i % 2 = 1), x -> x)")).alias("digests")))
-    holding = found.filter("size(digests) > 0").select("key", "host", F.explode("digests").alias("digest"))
-    pages_of = found.groupBy("host").agg(F.count("*").alias("n_pages"))
-    counted = holding.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    templates = counted.join(pages_of, "host").filter(F.col("n") >= least_share * F.col("n_pages")).select("host", "digest")
-    hits = holding.join(templates, ["host", "digest"]).groupBy("key").agg(F.collect_set("digest").alias("hits"))  # of one page: bounded by it
-    if templates.isEmpty():
-        joined = parsed.withColumn("hits", F.lit(None).cast("array<bigint>"))
-    else:
-        joined = parsed.join(hits, "key", "left")
-    out = map_rows(joined.select("id", "url", "texts", "around", "nodes", "hits"), _pruned, f"id {kind}, url string, text string, n_chars long")
+    templates = cut(site_templates(pages, least_pages, least_share))
+    size = templates.agg(F.sum(F.length("host") + 8 * F.size("templates") + 32).alias("n")).first().n or 0
+    joined = pages.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, "host", "left")
+    out = map_rows(joined.select("id", "url", "html", "templates"), _texts, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 

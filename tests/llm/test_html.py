@@ -38,8 +38,7 @@ def test_odd_pages_in_linear_time():
     for source in ("", "plain", "<", "<p", "<!-- x", "<div>" * 50_000 + "x", "<p><b>" * 50_000 + "x", "</p>" * 50_000, "<a \"" * 50_000, "<li>" * 50_000, "<td>" * 50_000, "<script>" * 50_000, "<!--" * 50_000, "<span class=ad>" * 50_000):
         H.Page(source).main()
     page = H.Page("<div>" * 20_000 + "x" + "</div>y" * 20_000)
-    around, nodes = page.candidates(page.main())
-    assert len(nodes) <= 2 * 20_000 and len(around) == 20_001
+    assert len(page.main()) == 20_001 and len(page.main({page.digest[1]})) == 1 and len(page.main({page.digest[20_000]})) == 20_000
 
 
 def test_templates_of_hosts(spark):
@@ -96,3 +95,36 @@ def test_counts_match_plain_ones(spark):
             if not k:
                 keep.append(t)
         assert got[i] == "\n".join(keep)
+
+
+def test_all_articles_and_formulas_stay():
+    assert text(PAGE % "<article><p>one</p></article><p>between</p><article><p>two <math><mi>x</mi></math></p></article><article class='card related'><p>other</p></article>") == "one\ntwo x"
+    assert text(PAGE % "<main><p>a</p></main><main><article><p>b</p></article></main>") == "b"
+
+
+def test_menus_without_telling_names_go_by_their_counts(spark):
+    """The menu, the notice in the article and the footer say nothing of themselves; their recurring subtrees do."""
+    menu = "<div class=x1><ul><li>Home</li><li>World</li></ul></div>"
+    body = "<body>%s<article><h1>Story %d</h1><p>Some words %d</p><p>Quoted everywhere</p><div class=x2>Tell your friends</div></article><div class=x3>All rights</div><div>%s</div></body>"
+    rows = [(i, "http://a.org/x", body % (menu, i, i, "a" * i)) for i in range(40)]
+    rows += [(100 + i, "http://b.org/x", body.replace("article", "section") % (menu, i, i, "tail")) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.main_text(df).collect()}
+    off = {r.page_id: r.text for r in H.main_text(df, least_pages=1000).collect()}
+    for i in range(40):
+        assert got[i] == f"Story {i}\nSome words {i}\nQuoted everywhere"
+        assert off[i] == got[i] + "\nTell your friends"
+        assert got[100 + i] == f"Story {i}\nSome words {i}" and off[100 + i] == f"Home\nWorld\nStory {i}\nSome words {i}\nQuoted everywhere\nTell your friends\nAll rights\ntail"
+
+
+def test_equal_pages_are_counted_once(spark):
+    rows = [(i, "http://a.org/x", "<body><div><p>The only story</p></div></body>") for i in range(30)] + [(99, "http://a.org/y", "<body><p>Else</p></body>")]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "The only story" for i in range(30)} | {99: "Else"}
+
+
+def test_templates_by_a_join(spark, monkeypatch):
+    rows = [(i, "http://a.org/x", f"<body><div>Same</div><p>{i}</p></body>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
+    assert {r.page_id: r.text for r in H.main_text(df).collect()} == {i: str(i) for i in range(20)}
