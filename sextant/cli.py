@@ -83,7 +83,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     done, failed = run_all(codes, stage, a.continue_on_error)
     if a.pooled and done:
         panel = alignment.pooled({c: g["panel"] for c, g in done.items()})
-        print(regression.fit_ols(panel, "alignment_score", ["electoral_cycle_progress", "log1p_speech_volume_words"], ["speech_party", "country_code"]).report())
+        print(regression.fit_ols(panel, "alignment_score", ["electoral_cycle_progress", "log1p_speech_words"], ["speech_party", "country_code"]).report())
     return int(bool(failed))
 
 

@@ -9,8 +9,8 @@ MICROS_A_DAY = 86_400_000_000
 
 
 def parse_iso_date(x: Column) -> Column:
-    """The date at the start of an ISO date or date-time; null if there is none or it doesn't exist."""
-    return F.try_to_date(F.regexp_extract(F.trim(x), r"^(\d{4}-\d{2}-\d{2})(?:$|[^\d])", 1), "yyyy-MM-dd")
+    """The date that a text begins with as yyyy-MM-dd, whatever follows; null if there is none or it doesn't exist."""
+    return F.try_to_date(F.regexp_extract(F.trim(x), r"^\d{4}-\d{2}-\d{2}", 0), "yyyy-MM-dd")
 
 
 def parse_effective_date(day_month_year: Column, year_month: Column) -> Column:

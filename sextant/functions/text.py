@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,3 +83,65 @@ def ordered_unique_codes(x: Column) -> Column:
 
 def display_label(label: Column, index: Column) -> Column:
     return F.concat_ws(" ", label, index.cast("string"))
+
+
+# Beginnings and ends that tell what a label names, by country, and what is said of labels without a party.
+LABEL_PREFIXES = {"UA": (("ф", "faction"), ("г", "group"), ("б", "bloc"))}
+LABEL_SUFFIXES = {"HU": (("-frakció", "faction"),)}
+UNMAPPED_NOTES = {
+    "group": "Parliamentary group label with no direct MPDS party match.",
+    "faction": "Faction label with no confident direct MPDS party match.",
+    "bloc": "Bloc label with no confident direct MPDS party match.",
+}
+OTHER_NOTE = "Parliamentary label present in speech data but not treated as a manifesto party."
+PARTY_NOTE = "Party label present in %s parliamentary speeches but not mapped to an MPDS %s party."
+BROAD_TOPICS = {
+    "Agriculture": "Environment_Land_Energy",
+    "Civil Rights": "Institutions_Rights_Law",
+    "Culture": "Culture_Identity",
+    "Defense": "Foreign_Security",
+    "Domestic Commerce": "Economics",
+    "Education": "Welfare_Human_Development",
+    "Energy": "Environment_Land_Energy",
+    "Environment": "Environment_Land_Energy",
+    "Foreign Trade": "Economics",
+    "Government Operations": "Institutions_Rights_Law",
+    "Health": "Welfare_Human_Development",
+    "Housing": "Welfare_Human_Development",
+    "Immigration": "Foreign_Security",
+    "International Affairs": "Foreign_Security",
+    "Labor": "Economics",
+    "Law and Crime": "Institutions_Rights_Law",
+    "Macroeconomics": "Economics",
+    "Public Lands": "Environment_Land_Energy",
+    "Social Welfare": "Welfare_Human_Development",
+    "Technology": "Infrastructure_Technology",
+    "Transportation": "Infrastructure_Technology",
+    "Other": "Residual",
+    "Mix": "Residual",
+}
+
+
+def mapped(x: Column, table: Mapping[str, str]) -> Column:
+    """The value of a static table; null where it has none."""
+    if not table:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*(F.lit(v) for pair in table.items() for v in pair)), x)
+
+
+def broad_topic(x: Column) -> Column:
+    return mapped(x, BROAD_TOPICS)
+
+
+def label_type(label: Column, country: str, known: Mapping[str, tuple[str, str]] = {}) -> Column:
+    """What a label names: by the labels known (label -> type, note), by the country's beginnings and ends, else a party."""
+    found = mapped(label, {k: kind for k, (kind, _) in known.items()})
+    rules = [F.when(F.lower(label).startswith(p), F.lit(kind)) for p, kind in LABEL_PREFIXES.get(country, ())]
+    rules += [F.when(label.endswith(e), F.lit(kind)) for e, kind in LABEL_SUFFIXES.get(country, ())]
+    return F.coalesce(found, *rules, F.lit("party"))
+
+
+def unmapped_note(label: Column, kind: Column, country: str, country_name: str, known: Mapping[str, tuple[str, str]] = {}) -> Column:
+    """What is said of a label without a party, by its type."""
+    by_type = F.coalesce(mapped(kind, UNMAPPED_NOTES), F.when(kind != "party", OTHER_NOTE), F.lit(PARTY_NOTE % (country, country_name)))
+    return F.coalesce(mapped(label, {k: note for k, (_, note) in known.items()}), by_type)

@@ -29,6 +29,7 @@ def asof_join(
     allow_exact: bool = True,
     with_next: bool = False,
     slices: str | None = "month",
+    methods: tuple[str, str] = ("latest_on_or_before", "fallback_to_earliest"),
 ) -> DataFrame:
     """Each left row with the latest right row of its group at or before it.
 
@@ -38,7 +39,7 @@ def asof_join(
     a group that holds most rows is still spread over its slices.
 
     Of right rows at the same time the last by `tie` counts. With `fallback`, left rows before the first right row take the
-    earliest one, selection is told in `selection_method`, and groups without right rows are left out; otherwise such rows get
+    earliest one, selection is told in `selection_method` (by `methods`), and groups without right rows are left out; otherwise such rows get
     nulls. With `with_next`, `next_<right_on>` is the time of the row after the one selected. Null times on the right are left
     out; a null time on the left matches nothing; null groups match null groups.
     """
@@ -57,7 +58,7 @@ def asof_join(
     # _side orders what happens at the same time: what a slice starts with, then right rows, then left rows (or the reverse).
     rows_r = side_r.select(*keys, "_slice", "_at", F.lit(1).alias("_side"), "_tie", "_right", F.lit(None).cast(left_type).alias("_left"))
     rows_l = side_l.select(*keys, "_slice", "_at", F.lit(2 if allow_exact else 0).alias("_side"), F.lit(None).cast(tie_type).alias("_tie"), F.lit(None).cast(right_type).alias("_right"), "_left")
-    both = rows_r.unionByName(rows_l)
+    both = rows_r.unionByName(rows_l.filter("_at is not null"))
     if slices:
         last = side_r.groupBy(*keys, "_slice").agg(F.max_by("_right", F.struct("_at", "_tie")).alias("_right"))
         wanted = side_l.filter("_slice is not null").select(*keys, "_slice").distinct().withColumn("_right", F.lit(None).cast(right_type))
@@ -65,14 +66,16 @@ def asof_join(
         earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         starts = known.withColumn("_right", F.last("_right", ignorenulls=True).over(earlier)).filter("_right is not null")
         both = both.unionByName(starts.select(*keys, "_slice", F.col("_slice").alias("_at"), F.lit(-1).alias("_side"), F.lit(None).cast(tie_type).alias("_tie"), "_right", F.lit(None).cast(left_type).alias("_left")))
-    sequence = Window.partitionBy(*keys, "_slice").orderBy(F.col("_at").asc_nulls_first(), "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_last", F.last("_right", ignorenulls=True).over(sequence)).filter("_left is not null").withColumn("_last", F.when(F.col("_at").isNotNull(), F.col("_last")))
+    sequence = Window.partitionBy(*keys, "_slice").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_right", ignorenulls=True).over(sequence)).filter("_left is not null").select(*keys, "_left", "_last")
+    # Left rows without a time match nothing and need no order: they stay out of the window.
+    found = found.unionByName(side_l.filter("_at is null").select(*keys, "_left", F.lit(None).cast(right_type).alias("_last")))
     if not fallback:
         return found.select("_left.*", *(F.col(f"_last.{c}").alias(c) for c in names))
     firsts = side_r.groupBy(*keys).agg(F.min_by("_right", F.struct("_at", "_tie")).alias("_first")).toDF(*(f"_f{k}" for k in keys), "_first")
     same = [F.col(k).eqNullSafe(F.col(f"_f{k}")) for k in keys]
     found = found.join(sized_broadcast(firsts), same) if same else found.crossJoin(firsts)  # without groups: one row
-    found = found.withColumn("selection_method", F.when(F.col("_last").isNotNull(), "latest_on_or_before").otherwise("fallback_to_earliest")).withColumn("_last", F.coalesce("_last", "_first"))
+    found = found.withColumn("selection_method", F.when(F.col("_last").isNotNull(), methods[0]).otherwise(methods[1])).withColumn("_last", F.coalesce("_last", "_first"))
     return found.select("_left.*", "selection_method", *(F.col(f"_last.{c}").alias(c) for c in names))
 
 

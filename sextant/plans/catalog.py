@@ -33,5 +33,5 @@ def r6(x: Column) -> Column:
     return F.round(x, 6) + F.lit(0.0)
 
 
-for module in ("relational", "temporal", "texts", "vectors", "models"):
+for module in ("relational", "temporal", "texts", "vectors", "models", "study"):
     import_module(f"{__package__}.{module}")

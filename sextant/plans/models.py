@@ -49,10 +49,9 @@ def q_ols_full(spark, d):
     return spark.createDataFrame(f.table, "term string, estimate double, std_error double, t_stat double, p_value double, ci_95_low double, ci_95_high double")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(l_returnflag = 'N' AS INT)::DOUBLE AS "FE_l_returnflag_N", CAST(l_returnflag = 'R' AS INT)::DOUBLE AS "FE_l_returnflag_R", CAST(l_linestatus = 'O' AS INT)::DOUBLE AS "l_linestatus_O" FROM lineitem WHERE l_orderkey % 3 = 0""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(l_returnflag = 'N' AS INT)::DOUBLE AS "FE_l_returnflag_N", CAST(l_returnflag = 'R' AS INT)::DOUBLE AS "FE_l_returnflag_R", CAST(l_linestatus = 'O' AS INT)::DOUBLE AS "l_linestatus_O" FROM lineitem""")
 def q_design_matrix(spark, d):
-    rows = t(spark, d, "lineitem").filter("l_orderkey % 3 = 0")
-    rows, columns = regression.design(rows, "l_extendedprice", ["l_quantity", "l_linestatus"], ["l_returnflag"])
+    rows, columns = regression.design(t(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_linestatus"], ["l_returnflag"])
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return rows.select(*keys, *(c.alias(n) for n, c in columns if n != "const"))
 

@@ -44,13 +44,13 @@ def q_eligible_index(spark, d):
     return s.join(joins.sized_broadcast(mapped), "n_name").orderBy("n_name")
 
 
-@query("""WITH l AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 7 = 0),
+@query("""WITH l AS (SELECT o_orderkey, o_orderstatus FROM orders),
 s AS (SELECT l_orderkey, count(*) AS lines, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY l_orderkey)
 SELECT o_orderkey, o_orderstatus, coalesce(lines, 0) AS lines, round(coalesce(quantity, 0), 6) AS quantity, round(ln(1 + CASE WHEN coalesce(quantity, 0) <= 0 THEN 1 ELSE quantity END), 6) AS log_quantity,
  coalesce(quantity > 100, false) AS over_half FROM l LEFT JOIN s ON o_orderkey = l_orderkey""")
 def q_left_covariates(spark, d):
     s = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
-    rows = t(spark, d, "orders").filter("o_orderkey % 7 = 0").select("o_orderkey", "o_orderstatus").join(s, "o_orderkey", "left")
+    rows = t(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(s, "o_orderkey", "left")
     q = F.coalesce("quantity", F.lit(0.0))
     return rows.select("o_orderkey", "o_orderstatus", F.coalesce("lines", F.lit(0)).alias("lines"), r6(q).alias("quantity"), r6(F.log1p(F.when(q <= 0, 1.0).otherwise(q))).alias("log_quantity"), panel.majority(F.col("quantity"), F.lit(200)).alias("over_half"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..operators import aggs, joins, panel
+from .alignment import SELECTION
 from .catalog import query, r6, t
 from .relational import SPEECHES, speeches
 
@@ -33,12 +34,12 @@ LATE = """late AS (SELECT * FROM manifestos WHERE manifesto_date >= DATE '1997-0
 
 
 @query(f"""WITH {SPEECHES}, {MANIFESTOS}, {LATE}, s AS (SELECT party, date, month, count(*) AS speech_rows FROM speeches GROUP BY ALL), f AS (SELECT party, min(manifesto_date) AS first_date, min_by(doc_key, manifesto_date) AS first_key FROM late GROUP BY party)
-SELECT s.party, s.date, CAST(speech_rows AS BIGINT) AS speech_rows, coalesce(m.manifesto_date, first_date) AS manifesto_date, coalesce(m.doc_key, first_key) AS doc_key, CASE WHEN m.doc_key IS NULL THEN 'fallback_to_earliest' ELSE 'latest_on_or_before' END AS selection_method
+SELECT s.party, s.date, CAST(speech_rows AS BIGINT) AS speech_rows, coalesce(m.manifesto_date, first_date) AS manifesto_date, coalesce(m.doc_key, first_key) AS doc_key, CASE WHEN m.doc_key IS NULL THEN 'fallback_to_earliest_manifesto' ELSE 'latest_manifesto_on_or_before_speech_date' END AS selection_method
 FROM s JOIN f ON s.party = f.party ASOF LEFT JOIN late m ON s.party = m.party AND s.date >= m.manifesto_date""")
 def q_asof_fallback(spark, d):
     rows = speeches(spark, d)
     late = manifestos(rows).filter("manifesto_date >= date'1997-06-01' and party <> 'MACHINERY'")
-    found = joins.asof_join(dated(rows), late, ["party"], "date", "manifesto_date", ["doc_key"], tie=["doc_key"], fallback=True)
+    found = joins.asof_join(dated(rows), late, ["party"], "date", "manifesto_date", ["doc_key"], tie=["doc_key"], fallback=True, methods=SELECTION)
     return found.select("party", "date", "speech_rows", "manifesto_date", "doc_key", "selection_method")
 
 
@@ -100,15 +101,15 @@ def q_in_office(spark, d):
     ).select("event_id", "cabinet", "valid_until")
 
 
-@query("""WITH l AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 5 = 0),
-a AS (SELECT o_custkey, o_orderkey AS ref, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 200 END AS e, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 END AS pr FROM orders WHERE o_orderkey % 2 = 1),
+@query("""WITH l AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders),
+a AS (SELECT o_custkey, o_orderkey AS ref, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 200 END AS e, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 END AS pr FROM orders),
 j AS (SELECT l.*, a.ref, coalesce((s IS NULL OR day >= s) AND (e IS NULL OR day <= e), false) AS in_range, pr, s FROM l LEFT JOIN a ON l.o_custkey = a.o_custkey AND pr IS NOT NULL)
 SELECT o_orderkey, o_custkey, day, ref, in_range FROM j QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY in_range DESC, pr, s DESC NULLS LAST, ref) = 1""")
 def q_interval_lookup(spark, d):
     o = t(spark, d, "orders")
-    left = o.filter("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    left = o.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
     start = F.col("o_orderdate").cast("date")
-    right = o.filter("o_orderkey % 2 = 1").select("o_custkey", F.col("o_orderkey").alias("ref"), start.alias("s"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add(start, 200)).alias("e"), "o_orderstatus")
+    right = o.select("o_custkey", F.col("o_orderkey").alias("ref"), start.alias("s"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add(start, 200)).alias("e"), "o_orderstatus")
     priority = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1)
     return joins.interval_lookup(left, right, ["o_custkey"], ["o_orderkey"], "day", "s", "e", priority, ["ref"]).select("o_orderkey", "o_custkey", "day", "ref", "in_range")
 
@@ -128,12 +129,12 @@ def q_override_expand(spark, d):
     return panel.apply_overrides(o, rules, "status", "day", ["label"]).select("o_orderkey", "label")
 
 
-@query("""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, ' %Y-%m-%d ') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 3 THEN '2001-02-30' ELSE strftime(o_orderdate, '%Y%m') END AS raw FROM orders)
-SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(trim(raw), '^(\\d{4}-\\d{2}-\\d{2})(?:$|[^\\d])', 1), '') AS DATE) AS iso_date,
+@query("""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, ' %Y-%m-%d ') WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d0815') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 3 THEN '2001-02-30' ELSE strftime(o_orderdate, '%Y%m') END AS raw FROM orders)
+SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(trim(raw), '^\\d{4}-\\d{2}-\\d{2}'), '') AS DATE) AS iso_date,
  CASE WHEN regexp_matches(raw, '^\\d{1,2}/\\d{1,2}/\\d{4}$') THEN CAST(strptime(raw, '%d/%m/%Y') AS DATE) WHEN regexp_matches(raw, '^\\d{6}$') THEN CAST(strptime(raw || '01', '%Y%m%d') AS DATE) END AS effective_date FROM s""")
 def q_iso_date(spark, d):
-    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
-    raw = F.when(k == 0, F.concat(F.lit(" "), F.date_format(day, "yyyy-MM-dd"), F.lit(" "))).when(k == 1, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.date_format(day, "dd/MM/yyyy")).when(k == 3, "2001-02-30").otherwise(F.date_format(day, "yyyyMM"))
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    raw = F.when(k == 0, F.concat(F.lit(" "), F.date_format(day, "yyyy-MM-dd"), F.lit(" "))).when(k == 5, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("0815"))).when(k == 1, F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.date_format(day, "dd/MM/yyyy")).when(k == 3, "2001-02-30").otherwise(F.date_format(day, "yyyyMM"))
     s = t(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
     return s.select("o_orderkey", D.parse_iso_date(F.col("raw")).alias("iso_date"), D.parse_effective_date(F.col("raw"), F.col("raw")).alias("effective_date"))
 

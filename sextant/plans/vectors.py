@@ -83,8 +83,8 @@ def q_unpivot_metrics(spark, d):
     return u.select("label", "metric", r6(F.col("value")).alias("value"), r6(running).alias("bottom"))
 
 
-@query(f"""WITH {SHARES}, v AS (SELECT vec_id, dim, p / sum(p) OVER (PARTITION BY vec_id) AS value FROM p WHERE dim < 60) SELECT vec_id, CAST(dim AS INT) AS dim, round(value, 6) AS value FROM v WHERE value > 0.02""")
+@query(f"""WITH {SHARES}, v AS (SELECT vec_id, dim, p / sum(p) OVER (PARTITION BY vec_id) AS value FROM p WHERE dim < 60) SELECT vec_id, CAST(dim AS INT) AS dim, round(value, 6) AS value FROM v""")
 def q_visible_topics(spark, d):
     """Shares without the last four topics, normalized anew."""
     visible = shares(spark, d).withColumn("v", V.normalized(F.slice("p", 1, F.size("p") - 4)))
-    return visible.select("vec_id", F.posexplode("v").alias("dim", "x")).filter("x > 0.02").select("vec_id", "dim", r6(F.col("x")).alias("value"))
+    return visible.select("vec_id", F.posexplode("v").alias("dim", "x")).select("vec_id", "dim", r6(F.col("x")).alias("value"))

@@ -16,21 +16,25 @@ class SqliteSource(DataSource):
     def name(cls) -> str:
         return "sqlite"
 
-    def _rows(self):
+    def _held(self) -> tuple[list[str], list[set[type]]]:
+        """Names of the columns, and the types of all values in each (a column of SQLite can hold several)."""
         db = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
         try:
             cursor = db.execute(self.options["query"], json.loads(self.options.get("params", "[]")))
-            return [d[0] for d in cursor.description], cursor.fetchmany(1000)
+            names = [d[0] for d in cursor.description]
+            held: list[set[type]] = [set() for _ in names]
+            for row in cursor:
+                for kinds, value in zip(held, row):
+                    kinds.add(type(value))
+            return names, held
         finally:
             db.close()
 
     def schema(self) -> StructType:
-        """By the values of the first rows: whole numbers, numbers, else text."""
-        names, rows = self._rows()
-        kinds = []
-        for i in range(len(names)):
-            held = {type(r[i]) for r in rows if r[i] is not None}
-            kinds.append(LongType() if held == {int} else DoubleType() if held and held <= {int, float} else StringType())
+        """By all values: whole numbers, numbers, else text."""
+        names, held = self._held()
+        found = [kinds - {type(None)} for kinds in held]
+        kinds = [LongType() if k == {int} else DoubleType() if k and k <= {int, float} else StringType() for k in found]
         return StructType([StructField(n, k) for n, k in zip(names, kinds)])
 
     def reader(self, schema: StructType) -> DataSourceReader:

@@ -20,11 +20,11 @@ def test_study_end_to_end(spark, tmp_path):
     elections = spark.createDataFrame([("2010-01-10",), ("2014-01-10",)], "d string").selectExpr("to_date(d) as date")
     got = alignment.run(extract, catalogue, spark.createDataFrame(sentences, "doc_key string, quasi_sentence_id int, text string"), elections, "L", Params(topics_per_label=1, latent_topics=1, min_cf=2), iterations=5)
     mapped = {x.speech_party: (x.mapping_status, x.match_method, x.mpds_party_id) for x in got["mapping"].collect()}
-    assert mapped == {"Á-B": ("mapped", "canonical_abbrev", 1), "Cd": ("mapped", "exact_name", 2), "X": ("unmapped", "unmapped", None)}
+    assert mapped == {"Á-B": ("mapped", "canonical_abbrev", 1), "Cd": ("mapped", "exact_name", 2), "X": ("unmapped", "", None)}
     bridge = got["bridge"].toPandas()
     assert set(bridge.doc_key) == {"1_201001", "1_201301", "2_201206"} and bridge.speech_rows.sum() == extract.filter("speaker_type = 'regular' and trim(party) in ('Á-B', 'Cd')").count() - 1
     early = bridge[(bridge.speech_party == "Cd") & (bridge.date.astype(str) < "2012-06-01")]
-    assert set(early.selection_method) == {"fallback_to_earliest"} and set(bridge[bridge.date.astype(str) >= "2013-01-01"].selection_method) == {"latest_on_or_before"}
+    assert set(early.selection_method) == {"fallback_to_earliest_manifesto"} and set(bridge[bridge.date.astype(str) >= "2013-01-01"].selection_method) == {"latest_manifesto_on_or_before_speech_date"}
     a = got["alignment"].toPandas()
     assert len(a) and a.js_distance.between(0, 1).all() and ((a.alignment_score + a.js_distance - 1).abs() < 1e-12).all()
     panel = got["panel"].toPandas()
