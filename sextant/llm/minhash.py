@@ -11,14 +11,15 @@ that links reach.
 3. In each bucket every class is paired with the bucket's smallest (a star, linear in the bucket), and the pairs are
    confirmed on their full sets. Components of these links are found by large-star and small-star steps.
 4. A bucket that still holds several components may hide links between members other than its smallest. It is cut into
-   blocks of about BLOCK members; each pair of blocks that holds more than one component counts all its intersections
+   blocks of about BLOCK members, or BLOCK_SHINGLES shingles if these are fewer; each pair of blocks that holds more than one component counts all its intersections
    exactly and gives back only links that join components, fewer than it has members. So no link is lost to the size of a bucket, and no list of all pairs is made.
 
 Hashes of shingles have 64 bits. Nothing is capped. Only counts and sums reach the driver.
 
 Cases: a null text, or one without words, has an empty set, which is linked with nothing, itself a component; equal texts are
-in one component; ids are taken to be unique, and rows that repeat an id and its text get the same result; rows without an id
-are classes with their equals only, and are kept if no equal has an id.
+in one component; rows that repeat an id and its text get the same result; an id with several texts is one document that has
+the links of all of them, and each of its rows tells the set of its own text; rows without an id are classes with their equals
+only, and are kept if no equal has an id.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from .common import cut, map_rows, table, utf8
 
 WORDS, PERCENT = 5, 75
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
-BLOCK = 256
+#: Members, and shingles of them together, that a block holds on average (a longer text fills one by itself).
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 #: Bytes of text that are shingled at a time (a longer text makes a chunk of its own).
 CHUNK = 2_000_000
 
@@ -201,18 +203,26 @@ def _checksum(edges: DataFrame) -> tuple:
 EDGES_AT_ONCE = 100_000
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows.groupBy(*keys) whose result is not yet dealt out by the keys: a join on them then has a plain exchange on both sides,
+    and adaptive execution can split the partition of a key that many rows of the other side have."""
+    return rows.groupBy(*keys, F.pmod(F.xxhash64(*keys), F.lit(1)).alias("_0"))
+
+
 def components(edges: DataFrame, most_files: int | None = None) -> DataFrame:
     """(node, component): every node of the edges (a, b), with the smallest node it reaches. Alternates large-star and
     small-star steps until nothing changes, which takes a number of rounds that grows with the logarithm of the longest path.
+
+    An edge leads from its larger end a to its smaller end b. Large-star: b gives way to the least of its own smaller ends, so
+    a centre, which has none, stays. Small-star: a node and its smaller ends go to the least of these.
     """
     e = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), most_files)
     seen = _checksum(e)
+    least = lambda x: _spread(x, "a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
     while seen[0]:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x"))
+        large = e.join(least(e), F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        both = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = large.join(least(large), F.col("a") == F.col("u")).select(F.explode(both).alias("x"))
         # A round leaves at most twice the edges of the one before: their number gives that of the files to write.
         e = cut(small.select("x.*").filter("a != b").distinct(), 1 + seen[0] // EDGES_AT_ONCE)
         now = _checksum(e)
@@ -226,24 +236,50 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id_col, n_shingles, component_id (the smallest id reachable) and kept (whether that is the row's own)."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = cut(map_rows(docs, _hashed, "id long, n_shingles long, key binary, bands array<bigint>"))
+    several = hashed.filter("id is not null").groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("n_shingles").alias("least")).filter("lo != hi or least = 0 and lo is not null")
+    out = _linked(docs, hashed) if several.isEmpty() else _of_repeated_ids(docs)
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
+
+
+def number_rows(df: DataFrame, id_col: str, mark) -> DataFrame:
+    """df with _number, one for each different pair of id_col and mark, in the order of the ids; null for a null id."""
+    marked = df.withColumn("_mark", mark)
+    pairs = marked.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col("_mark").alias("_m")).distinct().orderBy("_id", "_m")
+    numbers = cut(df.sparkSession.createDataFrame(pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "_id long, _m long, _number long"))
+    same = (F.col(id_col).cast("long") == F.col("_id")) & (F.col("_mark") == F.col("_m"))
+    return marked.join(numbers, same, "left").drop("_id", "_m", "_mark")
+
+
+def _of_repeated_ids(docs: DataFrame) -> DataFrame:
+    """Where texts of one id differ: the texts are linked under numbers of their own, and then what shares a number or an id."""
+    numbered = cut(number_rows(docs, "id", F.xxhash64("text")))
+    found = cut(near_duplicates(numbered.select("_number", "text"), "_number"))
+    ids = numbered.filter("_number is not null").select(F.col("_number").alias("k"), F.col("id").alias("own")).distinct()
+    named = found.join(ids, F.col("_number") == F.col("k"), "left").join(ids.toDF("c", "first"), F.col("component_id") == F.col("c"), "left").select("own", "n_shingles", "first")
+    named = cut(named)
+    higher = components(named.filter("own is not null").select(F.col("own").alias("a"), F.col("first").alias("b")).distinct())
+    return named.join(higher, F.col("first") == F.col("node"), "left").select(F.col("own").alias("id"), "n_shingles", F.coalesce("component", "first").alias("component_id"))
+
+
+def _linked(docs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """id, n_shingles, component_id of rows whose ids tell their texts."""
     parts = hashed.rdd.getNumPartitions()  # what follows is no larger than the documents
     files = 1 + hashed.count() // EDGES_AT_ONCE
     classes = hashed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"))
-    first = hashed.join(classes.filter(F.col("rep").isNotNull()).select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi")
-    banded = first.dropDuplicates(["key", "id"]).select("id", F.explode("bands").alias("bucket"))  # a repeated row is one class
-    stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print")).filter("n > 1")
+    first = hashed.join(classes.filter(F.col("rep").isNotNull()).select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key", "id"])  # a repeated row is one class
+    banded = first.select("id", F.explode("bands").alias("bucket"))
+    stars = _spread(banded, "bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print")).filter("n > 1").drop("_0")
     shared = cut(banded.join(stars, "bucket"), parts)
     texts = cut(docs.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), parts)
     pairs = shared.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirm(pairs, texts)
     found = components(links, files)
-    joined = components(_between_components(shared, found, texts, parts), files)
+    joined = components(_between_components(shared, first.select("id", "n_shingles"), found, texts, parts), files)
     lifted = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("higher")), "component", "left").select("node", F.coalesce("higher", "component").alias("component"))
     # Links of the second kind run between components, or classes that had no link before.
     final = lifted.unionByName(joined.join(found.select("node"), "node", "left_anti"))
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = hashed.select("id", "n_shingles", "key").join(of_class, "key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
+    return hashed.select("id", "n_shingles", "key").join(of_class, "key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,22 +288,23 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(with_a.select("a", "b", "text_a", "text_b"), _confirmed, "a long, b long")
 
 
-def _between_components(shared: DataFrame, found: DataFrame, texts: DataFrame, most_files: int) -> DataFrame:
-    """Links between components that share a bucket of three or more, as pairs of components."""
-    member = shared.filter("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _between_components(shared: DataFrame, sizes: DataFrame, found: DataFrame, texts: DataFrame, most_files: int) -> DataFrame:
+    """Links between components that share a bucket of three or more, as pairs of components. sizes: n_shingles by id."""
+    nodes = sizes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    member = shared.filter("n > 2").join(nodes, "id")
     # Buckets of the same members say the same; one of them is looked at.
     mixed = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("print").alias("print"), F.first("n").alias("n")).filter("lo != hi")
     mixed = mixed.groupBy("print", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    # A component of BLOCK members or more has blocks to itself, the smaller ones share theirs; so most pairs of blocks hold one
+    # A component that fills a block has blocks to itself, the smaller ones share theirs; so most pairs of blocks hold one
     # component and need no look. Counts decide, so no bucket has to be sorted in one task.
-    held = member.select("bucket", "id", "component").join(mixed, "bucket", "left_semi")
-    each = held.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    small = each.filter(F.col("c") < BLOCK).groupBy("bucket").agg(F.sum("c").alias("small"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK)
-    alone = F.xxhash64("component", F.pmod(F.xxhash64("id"), blocks("c")))
-    block = F.when(F.col("c") >= BLOCK, alone).otherwise(F.pmod(F.xxhash64("component"), blocks("small")))
-    rows = held.join(each.join(small, "bucket", "left"), ["bucket", "component"]).select("bucket", "id", "component", block.alias("block"))
-    rows = cut(rows, most_files)
+    held = member.select("bucket", "id", "component", "n_shingles").join(mixed, "bucket", "left_semi")
+    blocks = lambda n, weight: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(weight) / BLOCK_SHINGLES))
+    each = _spread(held, "bucket", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("w")).drop("_0").withColumn("own", blocks("c", "w"))
+    small = each.filter("own <= 1").groupBy("bucket").agg(F.sum("c").alias("small_c"), F.sum("w").alias("small_w"))
+    counts = each.join(small, "bucket", "left").select("bucket", "component", "own", blocks("small_c", "small_w").alias("small"))
+    alone = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("own")))
+    block = F.when(F.col("own") > 1, alone).otherwise(F.pmod(F.xxhash64("component"), F.col("small")))
+    rows = cut(held.join(counts, ["bucket", "component"]).select("bucket", "id", "component", block.alias("block")), most_files)
     block = rows.groupBy("bucket", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     i, j = block.toDF("bucket", "i", "i_lo", "i_hi"), block.toDF("bucket", "j", "j_lo", "j_hi")
     looked = i.join(j, "bucket").filter("i <= j and least(i_lo, j_lo) != greatest(i_hi, j_hi)").select("bucket", "i", "j")

@@ -106,3 +106,19 @@ def test_repeats_nulls_and_empty(spark):
     assert [(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id == 1] == [(1, 1, True)] * 3
     assert sorted([(r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None], key=str) == sorted([(2, 1, False), (0, None, True), (2, None, True)], key=str)
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b, c = "a b c d e f", "k l m n o p", "u v w x y z"
+    rows = [(9, a), (9, b), (9, None), (3, b), (5, a), (7, c), (7, c), (None, a), (None, None), (8, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(9, 2, 3, False), (9, 2, 3, False), (9, 0, 3, False), (3, 2, 3, True), (5, 2, 3, False), (7, 2, 7, True), (7, 2, 7, True), (None, 2, 3, False), (None, 0, None, True), (8, 0, 8, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 60)
+    texts = corpus(5)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(df).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(plain_components(texts))}
