@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm import minhash, packing, pii, toxicity
-from sextant.llm.common import cut, prepare, table
+from sextant.llm.common import prepare, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,21 +27,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     id that differ are documents of their own, and of equal rows one stays."""
     marked = docs.withColumn("_mark", F.xxhash64(*docs.columns))
     several = marked.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("_mark").alias("lo"), F.max("_mark").alias("hi")).filter("lo != hi")
-    key, named = ("doc_id", docs) if several.isEmpty() else ("_number", _numbered(spark, marked))
+    key, named = ("doc_id", docs) if several.isEmpty() else ("_number", minhash.number_rows(docs, "doc_id", F.xxhash64(*docs.columns)))
     kept = minhash.near_duplicates(named, key).filter("kept").select(F.col(key).alias("kept_id")).distinct()
     chosen = named.join(kept, F.col(key).eqNullSafe(F.col("kept_id"))).select(*named.columns)
     one = chosen.filter(F.col(key).isNotNull()).dropDuplicates([key]).select(*docs.columns)  # equal rows
     return one.unionByName(chosen.filter(F.col(key).isNull()).select(*docs.columns).distinct())
 
 
-def _numbered(spark: SparkSession, marked: DataFrame) -> DataFrame:
-    """marked with _number, one for each different row, in the order of the ids; null for a null id."""
-    rows = marked.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("_mark").alias("_m")).distinct().orderBy("_id", "_m")
-    numbers = cut(spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "_id long, _m long, _number long"))
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_mark") == F.col("_m"))
-    return marked.join(numbers, same, "left").drop("_id", "_m", "_mark")
-
-
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind, and n_chars counted anew."""
     masked = pii.mask_table(docs, "text", pii.train(docs))
