@@ -11,7 +11,19 @@ from collections.abc import Callable, Sequence
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sextant", description="Alignment of speeches with programmes, by country")
     p.add_argument("countries", nargs="+", help="codes, separated by spaces or commas; CODE=NAME sets the catalogue's name")
-    p.add_argument("--speeches", default="{code}/speeches", help="Parquet folder of extracted speeches")
+    p.add_argument("--corpus", default="{code}/corpus", help="folder of transcripts, for the extraction")
+    p.add_argument("--speeches", default="{code}/speeches", help="Parquet folder of extracted speeches, where the extraction is skipped")
+    p.add_argument("--skip-extract", action="store_true", help="read speeches instead of transcripts")
+    p.add_argument("--skip-party-mapping", action="store_true", help="use the mapping of an earlier run")
+    p.add_argument("--skip-manifesto-builder", action="store_true", help="use the bridge of an earlier run")
+    p.add_argument("--skip-regression", action="store_true")
+    p.add_argument("--unit", choices=["auto", "speech", "segment"], default="auto", help="unit of analysis of the extraction")
+    p.add_argument("--max-files", type=int, help="transcripts to extract at most")
+    p.add_argument("--no-notes", action="store_true", help="extract no notes")
+    p.add_argument("--inference-iterations", type=int, default=100)
+    p.add_argument("--score", default="alignment_score", help="column of the time series")
+    p.add_argument("--outcome", default="alignment_score", help="left-hand side of the regression")
+    p.add_argument("--predictors", nargs="+", default=["electoral_cycle_progress", "log1p_speech_words"])
     p.add_argument("--catalogue", default="catalogue.csv")
     p.add_argument("--sentences", default="{code}/sentences")
     p.add_argument("--elections", default="{code}/elections")
@@ -55,35 +67,29 @@ def run_all(codes: dict[str, str], stage: Callable[[str, str], object], continue
 
 
 def main(argv: Sequence[str] | None = None) -> int:
+    from .plans import stages
+
     a = parser().parse_args(argv)
     codes = countries(a.countries)
     if a.dry_run:
         for code, name in codes.items():
-            print(f"{code} ({name}): {a.speeches.format(code=code)} -> {a.out.format(code=code)}")
+            print(f"{code} ({name}): {a.out.format(code=code)}: {' '.join(s.name for s in stages.chosen(a))}")
         return 0
     from .operators import regression
-    from .operators.topics import Params
     from .plans import alignment
     from .session import get_spark
-    from .sources.files import read_csv
 
     spark = get_spark()
-    params = Params(a.topics_per_label, a.latent_topics, a.alpha, a.eta, a.min_cf, a.rm_top, a.seed)
-    catalogue = read_csv(spark, a.catalogue)
-
-    def stage(code: str, name: str):
-        load = lambda path: spark.read.parquet(path.format(code=code))
-        got = alignment.run(load(a.speeches), catalogue, load(a.sentences), load(a.elections), name, params, weighting=a.weighting, iterations=a.iterations)
-        out = a.out.format(code=code)
-        for table in ("mapping", "bridge", "month_bridge", "speech_topics", "manifesto_topics", "alignment", "panel"):
-            got[table].write.mode("overwrite").parquet(f"{out}/{table}")
-        print(f"{code}\n{got['fit'].report() if isinstance(got['fit'], regression.Fit) else got['fit']}")
-        return got
-
-    done, failed = run_all(codes, stage, a.continue_on_error)
-    if a.pooled and done:
-        panel = alignment.pooled({c: g["panel"] for c, g in done.items()})
-        print(regression.fit_ols(panel, "alignment_score", ["electoral_cycle_progress", "log1p_speech_words"], ["speech_party", "country_code"]).report())
+
+    def one(code: str, name: str) -> dict[str, int]:
+        counts = stages.run(stages.Country(spark, code, name, a))
+        print(f"{code}: " + ", ".join(f"{table} {n}" for table, n in counts.items()))
+        return counts
+
+    done, failed = run_all(codes, one, a.continue_on_error)
+    if a.pooled and done and not a.skip_regression:
+        panel = alignment.pooled({c: spark.read.parquet(f"{a.out.format(code=c)}/panel") for c in done})
+        print(regression.fit_ols(panel, a.outcome, list(a.predictors), ["speech_party", "country_code"]).report())
     return int(bool(failed))
 
 

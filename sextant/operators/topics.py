@@ -55,8 +55,8 @@ class LabelledModel:
         return list(enumerate(names + [f"latent {i}" for i in range(1, self.params.latent_topics + 1)]))
 
     def save(self, spark, path: str) -> None:
-        rows = [(k, w, float(self.beta[k, j])) for k in range(len(self.beta)) for j, w in enumerate(self.vocabulary)]
-        spark.createDataFrame(rows, "topic int, term string, p double").write.mode("overwrite").parquet(f"{path}/beta")
+        spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(self.beta)], "topic int, p array<double>").write.mode("overwrite").parquet(f"{path}/beta")
+        spark.createDataFrame([(self.vocabulary,)], "terms array<string>").write.mode("overwrite").parquet(f"{path}/vocabulary")
         spark.createDataFrame([(i, x) for i, x in enumerate(self.labels)], "position int, label string").write.mode("overwrite").parquet(f"{path}/labels")
         spark.createDataFrame([vars(self.params)]).write.mode("overwrite").json(f"{path}/params")
 
@@ -64,8 +64,9 @@ class LabelledModel:
     def load(spark, path: str) -> LabelledModel:
         labels = [r.label for r in spark.read.parquet(f"{path}/labels").orderBy("position").collect()]
         p = spark.read.json(f"{path}/params").first().asDict()
-        pdf = spark.read.parquet(f"{path}/beta").toPandas().pivot(index="topic", columns="term", values="p")
-        return LabelledModel(labels, list(pdf.columns), pdf.to_numpy(), Params(**{k: type(getattr(Params(), k))(v) for k, v in p.items()}))
+        beta = [r.p for r in spark.read.parquet(f"{path}/beta").orderBy("topic").collect()]  # the topics, within MAX_CELLS
+        vocabulary = list(spark.read.parquet(f"{path}/vocabulary").first().terms)
+        return LabelledModel(labels, vocabulary, np.array(beta).reshape(len(beta), len(vocabulary)), Params(**{k: type(getattr(Params(), k))(v) for k, v in p.items()}))
 
 
 def _documents(df: DataFrame, doc: str, text: str, label: str | None) -> DataFrame:
@@ -239,7 +240,11 @@ class PlainLDA:
         return self.model.transform(some).withColumn(name, vector_to_array("_topics")).drop("_tokens", "_counts", "_topics")
 
     def perplexity(self, df: DataFrame, text: str) -> float:
-        return math.exp(self.model.logPerplexity(self.counts.transform(self._tokens(df, text))))
+        """Of the rows that have a known word."""
+        from pyspark.ml.functions import vector_to_array
+
+        rows = self.counts.transform(self._tokens(df, text))
+        return math.exp(self.model.logPerplexity(rows.filter(F.exists(vector_to_array("_counts"), lambda x: x > 0))))
 
     def top_words(self, k: int) -> list[list[str]]:
         return [[self.counts.vocabulary[i] for i in r.termIndices] for r in self.model.describeTopics(k).orderBy("topic").collect()]
@@ -255,6 +260,24 @@ def held_out_perplexity(df: DataFrame, doc: str, text: str, topic_counts: Sequen
     return out
 
 
+def topic_count(given: int | None, configured: Sequence[int]) -> int:
+    """The count asked for, else the only one configured."""
+    if given is not None:
+        if given <= 0:
+            raise ValueError("the number of topics must be positive")
+        return given
+    if len(configured) != 1:
+        raise ValueError("several topic counts are configured: one has to be given")
+    return configured[0]
+
+
+def perplexity_profile(df: DataFrame, doc: str, text: str, topic_counts: Sequence[int], runs: int = 0, seed: int = 42, **options) -> list[tuple[int, int, float]]:
+    """(topics, seed, perplexity): held out over so many runs, or without runs in the sample itself."""
+    if runs > 0:
+        return held_out_perplexity(df, doc, text, topic_counts, runs, seed, **options)
+    return [(k, seed, PlainLDA(k, seed, **options).fit(df, text).perplexity(df, text)) for k in topic_counts]
+
+
 def best_topic_count(profile: Sequence[tuple[int, int, float]]) -> int:
     """The topic count of least mean perplexity, the smaller of equals."""
     means: dict[int, list[float]] = {}

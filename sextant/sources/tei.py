@@ -105,6 +105,31 @@ def files(spark: SparkSession, root: str, pattern: str = "*.xml") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path", "content")
 
 
+def corpus_roots(spark: SparkSession, path: str) -> list[str]:
+    """Folders that hold a corpus each: the path itself if its lists of persons and organisations are there, else its *.TEI
+    folders, else those one level below, else the path if it is named so. Works on any store that Spark reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def found(pattern: str) -> list[str]:
+        at = jvm.org.apache.hadoop.fs.Path(pattern)
+        return sorted(s.getPath().toString() for s in at.getFileSystem(conf).globStatus(at) or ())
+
+    base = path.rstrip("/")
+    if found(f"{base}/*-listPerson.xml") and found(f"{base}/*-listOrg.xml"):
+        return [base]
+    below = found(f"{base}/*.TEI") or found(f"{base}/*/*.TEI") or ([base] if base.endswith(".TEI") else [])
+    if not below:
+        raise FileNotFoundError(f"no corpus below {path}")
+    return below
+
+
+def corpus_name(root: str) -> tuple[str, str]:
+    """(corpus id, country) by the folder's name."""
+    name = root.rstrip("/").rpartition("/")[2].removesuffix(".TEI")
+    country = re.search(r"-([A-Za-z]+)", name)
+    return name, country[1] if country else ""
+
+
 def speech_files(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
     """Transcripts: XML files below a folder named by a year; the first max_files by path, if given."""
     found = files(spark, root).filter(F.col("path").rlike(r"/\d{4}/") & ~F.col("path").rlike("listPerson|listOrg|taxonomy"))

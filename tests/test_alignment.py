@@ -1,8 +1,11 @@
 import random
 
+import pytest
+
 from sextant import cli
-from sextant.operators.topics import Params
+from sextant.operators.topics import Params, topic_count
 from sextant.plans import alignment
+from sextant.sources import tei
 
 
 def test_study_end_to_end(spark, tmp_path):
@@ -32,6 +35,42 @@ def test_study_end_to_end(spark, tmp_path):
     assert "R2" in got["fit"].report()
 
 
+def test_stages_read_what_earlier_ones_wrote(spark, tmp_path, capsys):
+    r = random.Random(2)
+    words = {"tax": "budget tax euro bank", "war": "army war border peace"}
+    rows = []
+    for i in range(120):
+        label = r.choice(list(words))
+        rows.append(("speech", "regular", r.choice(["AB", "Cd"]), f"20{10 + i % 6}-{1 + i % 12:02d}-{1 + i % 28:02d}", " ".join(r.choice(words[label].split()) for _ in range(15)), label))
+    spark.createDataFrame(rows, "content_kind string, speaker_type string, party string, date string, text string, topic_label string").write.parquet(f"{tmp_path}/L/speeches")
+    spark.createDataFrame([(k, i, "budget war tax peace") for k in ("1_201001", "2_201206") for i in range(4)], "doc_key string, quasi_sentence_id int, text string").write.parquet(f"{tmp_path}/L/sentences")
+    spark.createDataFrame([("2010-01-10",), ("2014-01-10",)], "d string").selectExpr("to_date(d) as date").write.parquet(f"{tmp_path}/L/elections")
+    (tmp_path / "c.csv").write_text("countryname,party,partyname,partyabbrev,date,edate\nLand,1,Ab Union,AB,201001,05/01/2010\nLand,2,CD,,201206,01/06/2012\n")
+    paths = ["--speeches", f"{tmp_path}/{{code}}/speeches", "--sentences", f"{tmp_path}/{{code}}/sentences", "--elections", f"{tmp_path}/{{code}}/elections", "--catalogue", f"{tmp_path}/c.csv", "--out", f"{tmp_path}/out/{{code}}"]
+    few = ["--topics-per-label", "1", "--min-cf", "2", "--iterations", "3", "--inference-iterations", "5"]
+    assert cli.main(["L=Land", "--skip-extract", *paths, *few]) == 0
+    said = capsys.readouterr().out
+    assert "==> L regression" in said and "extract" not in said and "R2" in said
+    panel = spark.read.parquet(f"{tmp_path}/out/L/panel")
+    assert panel.columns[:5] == ["speech_party", "month", "month_start", "analysis_date", "alignment_score"] and panel.count() == spark.read.parquet(f"{tmp_path}/out/L/alignment").count() > 0
+    assert not any(c.startswith("topics") for c in spark.read.parquet(f"{tmp_path}/out/L/panel_model").columns)
+    assert cli.main(["L=Land", "--skip-extract", "--skip-party-mapping", "--skip-manifesto-builder", "--skip-regression", *paths, *few]) == 0
+    assert "party-mapping" not in capsys.readouterr().out
+
+
+def test_corpora_are_found(spark, tmp_path):
+    for name in ("all/P-LV/P-LV.TEI", "all/P-CZ/P-CZ.TEI", "one.TEI", "flat"):
+        (tmp_path / name).mkdir(parents=True)
+    for kind in ("listPerson", "listOrg"):
+        (tmp_path / "flat" / f"P-{kind}.xml").write_text("<x/>")
+    names = lambda path: [tei.corpus_name(r) for r in tei.corpus_roots(spark, f"{tmp_path}/{path}")]
+    assert names("all") == [("P-CZ", "CZ"), ("P-LV", "LV")] and names("all/P-CZ") == [("P-CZ", "CZ")]
+    assert names("one.TEI") == [("one", "")] and tei.corpus_roots(spark, f"{tmp_path}/flat") == [f"{tmp_path}/flat"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        names("none")
+
+
 def test_command_line(capsys):
     assert cli.countries(["cz,LV", "cz", "ee=Estonia"]) == {"CZ": "CZ", "LV": "LV", "EE": "Estonia"}
     assert cli.main(["CZ", "LV=Latvia", "--dry-run"]) == 0 and "Latvia" in capsys.readouterr().out
@@ -43,3 +82,10 @@ def test_command_line(capsys):
 
     assert cli.run_all({"A": "a", "B": "b", "C": "c"}, stage, True) == ({"A": "a", "C": "c"}, ["B"])
     assert cli.run_all({"A": "a", "B": "b", "C": "c"}, stage, False) == ({"A": "a"}, ["B"])
+
+
+def test_topic_counts():
+    assert topic_count(5, [18, 20]) == 5 and topic_count(None, [18]) == 18
+    for bad in ((0, [18]), (None, [18, 20]), (None, [])):
+        with pytest.raises(ValueError):
+            topic_count(*bad)

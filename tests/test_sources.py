@@ -123,3 +123,14 @@ def test_streams_match_batches(spark, tmp_path):
     assert got == {(str(r.start), r.k): r.n for r in daily_volumes(df, "ts", "k").collect()} and set(got.values()) == {2}
     assert {r.n for r in sessions(df, "ts", "k", "5 hours").collect()} == {2}
     assert len(got) == 6
+
+
+def test_sqlite_types_from_all_rows(spark, tmp_path):
+    path = str(tmp_path / "late.db")
+    db = sqlite3.connect(path)
+    db.execute("create table x (a, b, c)")
+    db.executemany("insert into x values (?, ?, ?)", [(i, i, None) for i in range(1200)] + [(2.5, "late", 7)])
+    db.commit()
+    df = sqlite.load_sql(spark, path, "select * from x order by rowid")
+    assert df.dtypes == [("a", "double"), ("b", "string"), ("c", "bigint")]
+    assert tuple(df.collect()[-1]) == (2.5, "late", 7)
