@@ -455,16 +455,18 @@ def train(df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
     the weights, of a fixed size, come back."""
     text = F.col(text_col)
     able = df.filter(text.rlike("[0-9@]|" + TITLE.pattern)).select(text.alias("t"), F.xxhash64(text).alias("h"))
+    hashes = [r.h for r in able.select("h").distinct().orderBy("h").limit(sample_docs).collect()]
+    if not hashes:
+        return fit([])
     size = F.length("t")
     stretch = F.when(size <= sample_chars, F.col("t")).otherwise(F.substring(F.col("t"), (F.pmod("h", size - sample_chars + 1) + 1).cast("int"), F.lit(sample_chars)))
-    sample = able.select("h", stretch.alias("t")).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(sample_docs)
+    sample = able.filter((F.col("h") <= hashes[-1]) & F.col("h").isin(hashes)).select("h", stretch.alias("t")).groupBy("h").agg(F.min("t").alias("t")).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted(r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t in held]))], pa.binary())], names=["weights"])
 
-    one = map_rows(sample, run, "weights binary").collect()
-    return pickle.loads(one[0].weights) if one else fit([])
+    return pickle.loads(map_rows(sample, run, "weights binary").first().weights)
 
 
 def spans_table(df: DataFrame, id_col: str, text_col: str, weights: dict[str, np.ndarray]) -> DataFrame:
