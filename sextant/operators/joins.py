@@ -79,16 +79,44 @@ def asof_join(
     return found.select("_left.*", "selection_method", *(F.col(f"_last.{c}").alias(c) for c in names))
 
 
-def interval_lookup(left: DataFrame, right: DataFrame, by: Sequence[str], row_key: Sequence[str], day: str, start: str, end: str, priority: Column, columns: Sequence[str]) -> DataFrame:
-    """Each left row with one right row of its group: in range before out of range, then by priority, then the latest start.
-    row_key identifies left rows. Right rows with a null priority take no part."""
-    from ..functions.dates import in_range
-
-    r = right.withColumn("_priority", priority).filter("_priority is not null").select(*by, "_priority", F.col(start).alias("_start"), F.col(end).alias("_end"), *(F.col(c).alias(f"_c_{c}") for c in columns))
-    joined = left.join(r, list(by), "left").withColumn("_in", F.coalesce(in_range(F.col(day), F.col("_start"), F.col("_end")), F.lit(False)))
-    best = Window.partitionBy(*row_key).orderBy(F.desc("_in"), F.asc("_priority"), F.col("_start").desc_nulls_last(), *(F.asc(f"_c_{c}") for c in columns))
-    top = joined.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
-    return top.select(*left.columns, *(F.col(f"_c_{c}").alias(c) for c in columns), F.col("_in").alias("in_range"))
+#: Blocks of days have 8 ** level days, up to the level of 45,000 years.
+BLOCK_LEVELS = 8
+
+
+def interval_lookup(left: DataFrame, right: DataFrame, by: Sequence[str], day: str, start: str, end: str, priority: Column, columns: Sequence[str]) -> DataFrame:
+    """Each left row with one right row of its group: in range before out of range, then by priority, then the latest start,
+    then the least of `columns`. Days, starts and ends are dates; a null start or end is open. Right rows with a null priority
+    take no part; a left row without a day is out of range, and one whose group has no right rows gets nulls.
+
+    No left row meets an interval. An interval is cut into the few aligned blocks of days that fill it (at most 14 of a level),
+    and the best row of each group and block is kept, by map-side minima. A day lies in one block of each level, so each
+    distinct group and day of the left looks up BLOCK_LEVELS rows and takes the best; out of range, one best row a group
+    serves. A hot group is spread over its days and blocks.
+    """
+    number = lambda at: F.when(at.isNotNull(), F.greatest(F.datediff(at, F.lit("0001-01-01").cast("date")), F.lit(0)).cast("long"))
+    least = F.struct(F.col("_priority"), F.col(start).isNull().alias("_open"), (-number(F.col(start))).alias("_latest"), *(F.col(c).alias(f"_c_{c}") for c in columns))
+    r = right.withColumn("_priority", priority).filter("_priority is not null")
+    r = r.select(*by, least.alias("_row"), F.coalesce(number(F.col(start)), F.lit(0)).alias("_s"), F.coalesce(number(F.col(end)) + 1, F.lit(8**BLOCK_LEVELS)).alias("_e"))
+    up = lambda level: F.expr(f"_s div {8**level} + if(_s % {8**level} > 0, 1, 0)")
+    down = lambda level: F.expr(f"_e div {8**level}")
+    run = lambda level, a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda k: F.struct(F.lit(level).alias("_level"), k.alias("_block"))))
+    parts = []
+    for level in range(BLOCK_LEVELS):
+        a, b = up(level), down(level)
+        # What the next level does not fill; above the last one, nothing is filled.
+        inner_a, inner_b = (up(level + 1) * 8, down(level + 1) * 8) if level + 1 < BLOCK_LEVELS else (F.lit(0), F.lit(0))
+        split = inner_a < inner_b
+        parts += [run(level, a, F.when(split, inner_a).otherwise(b)), F.when(split, run(level, inner_b, b))]
+    none = F.array().cast("array<struct<_level:int,_block:bigint>>")
+    blocks = r.select(*by, "_row", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("_at")).groupBy(*by, "_at").agg(F.min("_row").alias("_row"))
+    days = left.select(*by, F.col(day).alias("_day")).filter("_day is not null").distinct()
+    own = F.array(*(F.struct(F.lit(level).alias("_level"), F.expr(f"_n div {8**level}").alias("_block")) for level in range(BLOCK_LEVELS)))
+    asked = days.withColumn("_n", number(F.col("_day"))).select(*by, "_day", F.explode(own).alias("_at"))
+    inside = asked.join(blocks, [*by, "_at"]).groupBy(*by, "_day").agg(F.min("_row").alias("_inside"))
+    best = r.groupBy(*by).agg(F.min("_row").alias("_any"))
+    found = left.withColumn("_day", F.col(day)).join(inside, [*by, "_day"], "left").join(sized_broadcast(best), list(by), "left")
+    row = F.coalesce("_inside", "_any")
+    return found.select(*left.columns, *(row[f"_c_{c}"].alias(c) for c in columns), F.col("_inside").isNotNull().alias("in_range"))
 
 
 class CardinalityError(ValueError):

@@ -3,8 +3,9 @@
 Label-constrained LDA owns a block of topics for each label and some latent topics for all. A labelled document may use its
 label's block and the latent topics; an unlabelled one all. Fitting alternates an E-step over partitions of documents (each
 document's posterior by fixed-point iteration against the broadcast topic-word table) and an M-step that sums expected counts
-by (topic, term). The table has as many cells as topics times vocabulary, which min_cf and rm_top bound, and is what the
-driver holds; documents never leave the executors. Starting values come from hashes, so a fit is deterministic.
+by cell. The table has as many cells as topics times vocabulary, which min_cf and rm_top bound, and is what the driver holds
+(MAX_CELLS at most); documents never leave the executors, and move once, as numbers of terms. Starting values come from a
+seed, so a fit is deterministic.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import terms
 from .aggs import first_seen
-from .cooccurrence import term_counts
 
 #: Cells of the topic-word table that a fit takes at most; a larger vocabulary needs a higher min_cf.
-MAX_CELLS = 200_000_000
+MAX_CELLS = 20_000_000
 #: A vocabulary without a bound, of PlainLDA.
 ALL_TERMS = (1 << 31) - 1
 
@@ -69,30 +72,61 @@ class LabelledModel:
         return LabelledModel(labels, vocabulary, np.array(beta).reshape(len(beta), len(vocabulary)), Params(**{k: type(getattr(Params(), k))(v) for k, v in p.items()}))
 
 
-def _documents(df: DataFrame, doc: str, text: str, label: str | None) -> DataFrame:
-    """(doc, label, terms, counts) of documents with terms."""
-    counts = term_counts(df, doc, text)
-    grouped = counts.groupBy(doc).agg(F.collect_list("term").alias("terms"), F.collect_list("n").alias("counts"))
-    meta = df.select(doc, (F.col(label) if label else F.lit(None).cast("string")).alias("label"))
-    return grouped.join(meta.dropDuplicates([doc]), doc).select(F.col(doc).alias("doc"), "label", "terms", "counts")
-
-
-def _posterior(terms: np.ndarray, counts: np.ndarray, allowed: np.ndarray, beta: np.ndarray, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Topic shares, expected counts (topics x terms) and log likelihood of a document."""
-    b = beta[np.ix_(allowed, terms)]
+def _vocabulary(df: DataFrame, text: str, min_cf: int, rm_top: int, most: int) -> list[str]:
+    """Terms that occur min_cf times or more, less the rm_top most frequent ones (of equals the smaller); an error beyond
+    `most` of them, before they reach the driver."""
+    cf = df.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("cf")).filter(F.col("cf") >= min_cf)
+    rows = cf.limit(most + rm_top + 1).collect()
+    if len(rows) > most + rm_top:
+        raise ValueError(f"more than {most} terms for so many topics; raise min_cf")
+    return sorted(r.term for r in sorted(rows, key=lambda r: (-r.cf, r.term))[rm_top:])
+
+
+def _bags(df: DataFrame, doc: str, text: str, label: str | None, vocabulary: Sequence[str]) -> DataFrame:
+    """(doc, label, terms, counts) of documents with known terms, by their numbers. Terms are counted within a row; rows of one
+    id are one document, with the least label. Rows without an id are left out."""
+    shared = df.sparkSession.sparkContext.broadcast(list(vocabulary))  # within MAX_CELLS
+    named = F.col(label) if label else F.lit(None).cast("string")
+    rows = df.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), named.alias("label"), terms(F.col(text)).alias("words"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc", "label"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, pa.string())
+        size = max(len(known), 1)
+        for b in batches:
+            words = b.column("words")
+            lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            numbers = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(b)), lengths)[numbers >= 0]
+            code, n = np.unique(row * size + numbers[numbers >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(code // size, np.arange(len(b) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (code % size, n)]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("label"), *lists], ["doc", "label", "terms", "counts"])
+
+    bags = rows.mapInArrow(count, f"{kinds}, terms array<int>, counts array<int>").filter(F.size("terms") > 0)
+    merged = bags.groupBy("doc").agg(F.min("label").alias("label"), F.collect_list(F.struct("terms", "counts")).alias("parts"))
+    return merged.select("doc", "label", F.flatten("parts.terms").alias("terms"), F.flatten("parts.counts").alias("counts"))
+
+
+def _one(terms: Sequence[int], counts: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Each term once."""
+    t, place = np.unique(np.asarray(terms), return_inverse=True)
+    return t, np.bincount(place, weights=np.asarray(counts, float), minlength=len(t))
+
+
+def _posterior(terms: np.ndarray, counts: np.ndarray, allowed: np.ndarray, by_term: np.ndarray, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Topic shares, expected counts (terms x topics) and log likelihood of a document. by_term: terms x topics."""
+    b = by_term[terms][:, allowed]
     theta = np.full(len(allowed), 1.0 / len(allowed))
     for _ in range(rounds):
-        r = theta[:, None] * b
-        r /= np.maximum(r.sum(0), 1e-300)
-        n = r @ counts + alpha
+        n = theta * ((counts / np.maximum(b @ theta, 1e-300)) @ b) + alpha
         new = n / n.sum()
-        if np.abs(new - theta).max() < 1e-6:
-            theta = new
-            break
+        done = np.abs(new - theta).max() < 1e-6
         theta = new
-    mass = theta @ b
-    r = theta[:, None] * b / np.maximum(mass, 1e-300)
-    return theta, r * counts, float(counts @ np.log(np.maximum(mass, 1e-300)))
+        if done:
+            break
+    mass = np.maximum(b @ theta, 1e-300)
+    return theta, b * theta * (counts / mass)[:, None], float(counts @ np.log(mass))
 
 
 def _allowed(label: str | None, place: dict[str, int], p: Params, n_topics: int) -> np.ndarray:
@@ -114,38 +148,36 @@ def fit_labelled(df: DataFrame, doc: str, text: str, label: str, order: Sequence
     spark = df.sparkSession
     labelled = df.dropna(subset=[label])
     labels = [r[label] for r in first_seen(labelled, label, order).orderBy("position").collect()]
-    kept = term_counts(labelled, doc, text, params.min_cf, params.rm_top)
-    vocabulary = sorted(r.term for r in kept.select("term").distinct().collect())
     n_topics = len(labels) * params.topics_per_label + params.latent_topics
-    if n_topics * len(vocabulary) > MAX_CELLS:
-        raise ValueError(f"{n_topics} topics x {len(vocabulary)} terms; raise min_cf")
-    index, place = {w: i for i, w in enumerate(vocabulary)}, {x: i for i, x in enumerate(labels)}
-    docs = kept.groupBy(doc).agg(F.collect_list("term").alias("terms"), F.collect_list("n").alias("counts"))
-    docs = docs.join(labelled.select(F.col(doc), F.col(label).alias("label")).dropDuplicates([doc]), doc).select("label", "terms", "counts").persist()
+    vocabulary = _vocabulary(labelled, text, params.min_cf, params.rm_top, MAX_CELLS // n_topics)
+    place = {x: i for i, x in enumerate(labels)}
+    docs = _bags(labelled, doc, text, label, vocabulary).select("label", "terms", "counts").persist()
     model = LabelledModel(labels, vocabulary, _start(n_topics, vocabulary, params.seed), params)
     for i in range(1, iterations + 1):
-        shared = spark.sparkContext.broadcast((index, place, model.beta))
+        shared = spark.sparkContext.broadcast(np.ascontiguousarray(model.beta.T))
 
         def e_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index, place, beta = shared.value
-            sums, ll, n = np.zeros_like(beta), 0.0, 0.0
+            by_term = shared.value
+            sums, ll, n = np.zeros_like(by_term), 0.0, 0.0
             for pdf in batches:
                 for x, ts, cs in zip(pdf["label"], pdf["terms"], pdf["counts"]):
-                    t, c = np.array([index[w] for w in ts]), np.asarray(cs, float)
-                    allowed = _allowed(x, place, params, len(beta))
-                    _, expected, one = _posterior(t, c, allowed, beta, params.alpha, 20)
-                    sums[np.ix_(allowed, t)] += expected
+                    t, c = _one(ts, cs)
+                    allowed = _allowed(x, place, params, n_topics)
+                    _, expected, one = _posterior(t, c, allowed, by_term, params.alpha, 20)
+                    sums[t[:, None], allowed] += expected
                     ll, n = ll + one, n + c.sum()
-            k, j = np.nonzero(sums)
-            yield pd.DataFrame({"topic": np.append(k, -1), "term": np.append(j, 0), "value": np.append(sums[k, j], ll)})
-            yield pd.DataFrame({"topic": [-2], "term": [0], "value": [n]})
-
-        parts = docs.select("label", "terms", "counts").mapInPandas(e_step, "topic int, term int, value double")
-        got = parts.groupBy("topic", "term").agg(F.sum("value").alias("value")).toPandas()  # topics x vocabulary cells
-        ll, n = (float(got.loc[got.topic == k, "value"].sum()) for k in (-1, -2))
-        cells = got[got.topic >= 0]
-        beta = np.full_like(model.beta, params.eta)
-        beta[cells.topic.to_numpy(), cells.term.to_numpy()] += cells.value.to_numpy()
+            flat = sums.reshape(-1)
+            cells = np.flatnonzero(flat)
+            yield pd.DataFrame({"cell": np.concatenate([[-2, -1], cells]), "value": np.concatenate([[n, ll], flat[cells]])})
+
+        # Cells are numbered term by term; -1 has the log likelihood, -2 the number of words.
+        parts = docs.mapInPandas(e_step, "cell long, value double")
+        got = parts.groupBy("cell").agg(F.sum("value").alias("value")).toPandas()  # MAX_CELLS at most
+        cell, value = got["cell"].to_numpy(), got["value"].to_numpy()
+        ll, n = (float(value[cell == k].sum()) for k in (-1, -2))
+        beta = np.full(n_topics * len(vocabulary), params.eta)
+        beta[cell[cell >= 0]] += value[cell >= 0]
+        beta = beta.reshape(len(vocabulary), n_topics).T
         model.beta = beta / beta.sum(1, keepdims=True)
         shared.unpersist()
         if i % step == 0 or i == iterations:
@@ -157,23 +189,20 @@ def fit_labelled(df: DataFrame, doc: str, text: str, label: str, order: Sequence
 def infer_labelled(df: DataFrame, doc: str, text: str, model: LabelledModel, label: str | None = None, iterations: int = 100) -> DataFrame:
     """(doc, topics array, ll): shares of all topics, or where a known label is given of its block and the latent ones."""
     spark, p = df.sparkSession, model.params
-    index, place = {w: i for i, w in enumerate(model.vocabulary)}, {x: i for i, x in enumerate(model.labels)}
-    shared = spark.sparkContext.broadcast((index, place, model.beta))
-    rows = _documents(df, doc, text, label)
+    place = {x: i for i, x in enumerate(model.labels)}
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(model.beta.T))
+    rows = _bags(df, doc, text, label, model.vocabulary)
     kind = df.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, place, beta = shared.value
+        by_term = shared.value
         for pdf in batches:
             out = []
             for d, x, ts, cs in zip(pdf["doc"], pdf["label"], pdf["terms"], pdf["counts"]):
-                known = [(index[w], c) for w, c in zip(ts, cs) if w in index]
-                if not known:
-                    continue
-                t, c = np.array([k for k, _ in known]), np.array([float(n) for _, n in known])
-                allowed = _allowed(x, place, p, len(beta))
-                theta, _, ll = _posterior(t, c, allowed, beta, p.alpha, iterations)
-                full = np.zeros(len(beta))
+                t, c = _one(ts, cs)
+                allowed = _allowed(x, place, p, by_term.shape[1])
+                theta, _, ll = _posterior(t, c, allowed, by_term, p.alpha, iterations)
+                full = np.zeros(by_term.shape[1])
                 full[allowed] = theta
                 out.append((d, full.tolist(), ll / c.sum()))
             yield pd.DataFrame(out, columns=["doc", "topics", "ll_per_word"])
@@ -212,8 +241,6 @@ class PlainLDA:
         self.n_topics, self.seed, self.iterations, self.vocabulary, self.stop_words = n_topics, seed, iterations, vocabulary, list(stop_words)
 
     def _tokens(self, df: DataFrame, text: str) -> DataFrame:
-        from ..functions.text import terms
-
         words = terms(F.col(text))
         if self.stop_words:
             words = F.filter(words, lambda w: ~w.isin(self.stop_words))

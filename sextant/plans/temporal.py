@@ -111,7 +111,7 @@ def q_interval_lookup(spark, d):
     start = F.col("o_orderdate").cast("date")
     right = o.select("o_custkey", F.col("o_orderkey").alias("ref"), start.alias("s"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add(start, 200)).alias("e"), "o_orderstatus")
     priority = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1)
-    return joins.interval_lookup(left, right, ["o_custkey"], ["o_orderkey"], "day", "s", "e", priority, ["ref"]).select("o_orderkey", "o_custkey", "day", "ref", "in_range")
+    return joins.interval_lookup(left, right, ["o_custkey"], "day", "s", "e", priority, ["ref"]).select("o_orderkey", "o_custkey", "day", "ref", "in_range")
 
 
 RULES = [("F", "1996-01-01", "1997-01-01", "interim"), ("O", "1998-03-01", None, "late"), ("F", "1996-06-01", "1996-09-01", "summer")]

@@ -236,7 +236,7 @@ def speeches(spark: SparkSession, root: str, corpus_id: str, unit: str = "auto",
     days = said.select(F.explode("speakers").alias("person"), "date").distinct()
     known = held.join(sized_broadcast(orgs.select("org", F.col("name").alias("org_name"), F.col("role").alias("org_role"))), "org", "left")
     known = known.withColumn("party", F.coalesce("org_name", F.when(F.col("org") != "", F.col("org"))))
-    looked = interval_lookup(days.withColumn("day", F.coalesce("date", F.lit("1900-01-01").cast("date"))), known, ["person"], ["person", "date"], "day", "start", "end", party_priority(F.col("org"), F.col("org_role")), ["place", "party"])
+    looked = interval_lookup(days.withColumn("day", F.coalesce("date", F.lit("1900-01-01").cast("date"))), known, ["person"], "day", "start", "end", party_priority(F.col("org"), F.col("org_role")), ["place", "party"])
     names = held.groupBy("person").agg(F.min("name").alias("name"))
     one = looked.join(names, "person", "left").select("person", "date", F.coalesce("name", "person").alias("name"), "party")
     placed = said.select("path", "pos", "date", F.posexplode("speakers").alias("k", "person")).join(one.withColumnRenamed("date", "on"), ["person"]).filter(F.col("date").eqNullSafe(F.col("on")))

@@ -156,6 +156,29 @@ def test_least_squares_against_dense(spark):
     assert "x" in f.report()
 
 
+def test_interval_lookup_against_plain_loops(spark):
+    r = np.random.default_rng(4)
+    start = lambda: None if r.random() < 0.15 else day("2019-12-20") + dt.timedelta(int(r.integers(0, 700)))
+    right = []
+    for i in range(400):
+        s = start()
+        e = None if r.random() < 0.2 else (s or day("2020-02-01")) + dt.timedelta(int(r.integers(-3, 250)))
+        right.append((str(r.choice(list("abc"))), s, e, int(p) if (p := r.integers(0, 4)) < 3 else None, i % 37))
+    left = [(str(g) if g != "-" else None, start(), i) for i, g in enumerate(r.choice(list("aaaabcd-"), 500))] + [("a", day("0001-01-01"), 500), ("a", day("9999-12-31"), 501), ("a", day("9999-12-31"), 501)]
+    want = []
+    for g, at, i in left:
+        pool = [x for x in right if x[0] == g and x[3] is not None]
+        inside = [x for x in pool if at and (x[1] is None or at >= x[1]) and (x[2] is None or at <= x[2])]
+        best = min(inside or pool, key=lambda x: (x[3], x[1] is None, -(x[1] or day("2020-01-01")).toordinal(), x[4]), default=None)
+        want.append((i, best and best[4], bool(inside)))
+    lefts, rights = spark.createDataFrame(left, "g string, at date, id int"), spark.createDataFrame(right, "g string, s date, e date, p int, k int")
+    got = joins.interval_lookup(lefts, rights, ["g"], "at", "s", "e", F.col("p"), ["k"])
+    assert got.columns == ["g", "at", "id", "k", "in_range"]
+    key = lambda x: (x[0], x[1] is None, x[1], x[2])
+    assert sorted(((x.id, x.k, x.in_range) for x in got.collect()), key=key) == sorted(want, key=key)
+    assert joins.interval_lookup(lefts, rights.limit(0), ["g"], "at", "s", "e", F.col("p"), ["k"]).filter("k is null and not in_range").count() == len(left)
+
+
 def test_labelled_topics(spark, tmp_path):
     import random
 
@@ -185,6 +208,20 @@ def test_labelled_topics(spark, tmp_path):
     assert sum(x["is_best"] for x in log) == 1 and min(x["perplexity"] for x in log) == best.log[-1][2]
 
 
+def test_labelled_topics_of_odd_rows(spark):
+    rows = [(1, "x", "tax bank tax"), (1, "x", "bank euro tax"), (2, "y", "army war army"), (3, "y", None), (None, "x", "tax tax"), (4, "y", "")]
+    df = spark.createDataFrame(rows, "id int, label string, text string")
+    bags = {r.doc: r for r in topics._bags(df, "id", "text", "label", ["army", "bank", "tax"]).collect()}
+    assert sorted(bags) == [1, 2] and bags[2].label == "y"
+    t, c = topics._one(bags[1].terms, bags[1].counts)
+    assert (t.tolist(), c.tolist()) == ([1, 2], [2.0, 3.0])
+    assert topics._vocabulary(df, "text", 2, 1, 10) == ["army", "bank"]
+    with pytest.raises(ValueError):
+        topics._vocabulary(df, "text", 1, 0, 2)
+    empty = topics.fit_labelled(df.limit(0), "id", "text", "label", ["id"], iterations=1)
+    assert empty.beta.shape == (1, 0) and topics.infer_labelled(df, "id", "text", empty).count() == 0
+
+
 def test_plain_topics(spark):
     rows = [(i, ("budget tax euro " if i % 2 else "army war border ") * 6) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, text string")
