@@ -81,6 +81,8 @@ def asof_join(
 
 #: Blocks of days have 8 ** level days, up to the level of 45,000 years.
 BLOCK_LEVELS = 8
+#: Right rows of a group that interval_lookup lays beside each left row; a group with more goes by blocks of days.
+FEW_INTERVALS = 64
 
 
 def interval_lookup(left: DataFrame, right: DataFrame, by: Sequence[str], day: str, start: str, end: str, priority: Column, columns: Sequence[str]) -> DataFrame:
@@ -88,15 +90,34 @@ def interval_lookup(left: DataFrame, right: DataFrame, by: Sequence[str], day: s
     then the least of `columns`. Days, starts and ends are dates; a null start or end is open. Right rows with a null priority
     take no part; a left row without a day is out of range, and one whose group has no right rows gets nulls.
 
-    No left row meets an interval. An interval is cut into the few aligned blocks of days that fill it (at most 14 of a level),
-    and the best row of each group and block is kept, by map-side minima. A day lies in one block of each level, so each
-    distinct group and day of the left looks up BLOCK_LEVELS rows and takes the best; out of range, one best row a group
-    serves. A hot group is spread over its days and blocks.
+    Groups of FEW_INTERVALS right rows or fewer are one array, which each left row looks through. In larger groups no left
+    row meets an interval: an interval is cut into the few aligned blocks of days that fill it (at most 14 of a level), and the
+    best row of each group and block is kept, by map-side minima. A day lies in one block of each level, so each distinct
+    group and day of the left looks up BLOCK_LEVELS rows and takes the best; out of range, one best row a group serves. So a
+    hot group is spread over its days and blocks.
     """
     number = lambda at: F.when(at.isNotNull(), F.greatest(F.datediff(at, F.lit("0001-01-01").cast("date")), F.lit(0)).cast("long"))
     least = F.struct(F.col("_priority"), F.col(start).isNull().alias("_open"), (-number(F.col(start))).alias("_latest"), *(F.col(c).alias(f"_c_{c}") for c in columns))
     r = right.withColumn("_priority", priority).filter("_priority is not null")
     r = r.select(*by, least.alias("_row"), F.coalesce(number(F.col(start)), F.lit(0)).alias("_s"), F.coalesce(number(F.col(end)) + 1, F.lit(8**BLOCK_LEVELS)).alias("_e"))
+    r = r.join(r.groupBy(*by).agg(F.count("*").alias("_size")), list(by))
+    few = r.filter(F.col("_size") <= FEW_INTERVALS).groupBy(*by).agg(F.collect_list(F.struct("_row", "_s", "_e")).alias("_rows"))
+    many = r.filter(F.col("_size") > FEW_INTERVALS)
+    best = many.groupBy(*by).agg(F.min("_row").alias("_any"))
+    days = left.select(*by, F.col(day).alias("_day")).filter("_day is not null").join(sized_broadcast(best.select(*by)), list(by), "left_semi").distinct()
+    own = F.array(*(F.struct(F.lit(level).alias("_level"), F.expr(f"_n div {8**level}").alias("_block")) for level in range(BLOCK_LEVELS)))
+    asked = days.withColumn("_n", number(F.col("_day"))).select(*by, "_day", F.explode(own).alias("_at"))
+    inside = asked.join(_day_blocks(many, by), [*by, "_at"]).groupBy(*by, "_day").agg(F.min("_row").alias("_inside"))
+    found = left.withColumn("_day", F.col(day)).withColumn("_n", number(F.col(day))).join(few, list(by), "left")
+    found = found.join(inside, [*by, "_day"], "left").join(sized_broadcast(best), list(by), "left")
+    held = F.filter("_rows", lambda x: (F.col("_n") >= x["_s"]) & (F.col("_n") < x["_e"]))
+    hit = F.coalesce(F.array_min(F.transform(held, lambda x: x["_row"])), "_inside")
+    found = found.withColumn("_hit", hit).withColumn("_found", F.coalesce("_hit", F.array_min(F.transform("_rows", lambda x: x["_row"])), "_any"))
+    return found.select(*left.columns, *(F.col(f"_found._c_{c}").alias(c) for c in columns), F.col("_hit").isNotNull().alias("in_range"))
+
+
+def _day_blocks(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, _at, _row): the best row of each group and aligned block, of intervals of days from _s to before _e."""
     up = lambda level: F.expr(f"_s div {8**level} + if(_s % {8**level} > 0, 1, 0)")
     down = lambda level: F.expr(f"_e div {8**level}")
     run = lambda level, a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda k: F.struct(F.lit(level).alias("_level"), k.alias("_block"))))
@@ -108,15 +129,8 @@ def interval_lookup(left: DataFrame, right: DataFrame, by: Sequence[str], day: s
         split = inner_a < inner_b
         parts += [run(level, a, F.when(split, inner_a).otherwise(b)), F.when(split, run(level, inner_b, b))]
     none = F.array().cast("array<struct<_level:int,_block:bigint>>")
-    blocks = r.select(*by, "_row", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("_at")).groupBy(*by, "_at").agg(F.min("_row").alias("_row"))
-    days = left.select(*by, F.col(day).alias("_day")).filter("_day is not null").distinct()
-    own = F.array(*(F.struct(F.lit(level).alias("_level"), F.expr(f"_n div {8**level}").alias("_block")) for level in range(BLOCK_LEVELS)))
-    asked = days.withColumn("_n", number(F.col("_day"))).select(*by, "_day", F.explode(own).alias("_at"))
-    inside = asked.join(blocks, [*by, "_at"]).groupBy(*by, "_day").agg(F.min("_row").alias("_inside"))
-    best = r.groupBy(*by).agg(F.min("_row").alias("_any"))
-    found = left.withColumn("_day", F.col(day)).join(inside, [*by, "_day"], "left").join(sized_broadcast(best), list(by), "left")
-    row = F.coalesce("_inside", "_any")
-    return found.select(*left.columns, *(row[f"_c_{c}"].alias(c) for c in columns), F.col("_inside").isNotNull().alias("in_range"))
+    cut = intervals.select(*by, "_row", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("_at"))
+    return cut.groupBy(*by, "_at").agg(F.min("_row").alias("_row"))
 
 
 class CardinalityError(ValueError):

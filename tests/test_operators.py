@@ -156,7 +156,9 @@ def test_least_squares_against_dense(spark):
     assert "x" in f.report()
 
 
-def test_interval_lookup_against_plain_loops(spark):
+@pytest.mark.parametrize("few", [64, 100, 1000])
+def test_interval_lookup_against_plain_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(joins, "FEW_INTERVALS", few)
     r = np.random.default_rng(4)
     start = lambda: None if r.random() < 0.15 else day("2019-12-20") + dt.timedelta(int(r.integers(0, 700)))
     right = []
