@@ -76,10 +76,11 @@ def _vocabulary(df: DataFrame, text: str, min_cf: int, rm_top: int, most: int) -
     """Terms that occur min_cf times or more, less the rm_top most frequent ones (of equals the smaller); an error beyond
     `most` of them, before they reach the driver."""
     cf = df.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("cf")).filter(F.col("cf") >= min_cf)
-    rows = cf.limit(most + rm_top + 1).collect()
+    rows = cf.limit(most + rm_top + 1).toArrow()
     if len(rows) > most + rm_top:
         raise ValueError(f"more than {most} terms for so many topics; raise min_cf")
-    return sorted(r.term for r in sorted(rows, key=lambda r: (-r.cf, r.term))[rm_top:])
+    rows = rows.take(pc.sort_indices(rows, [("cf", "descending"), ("term", "ascending")])[rm_top:])
+    return rows.take(pc.sort_indices(rows, [("term", "ascending")]))["term"].to_pylist()
 
 
 def _bags(df: DataFrame, doc: str, text: str, label: str | None, vocabulary: Sequence[str]) -> DataFrame:
@@ -172,14 +173,15 @@ def fit_labelled(df: DataFrame, doc: str, text: str, label: str, order: Sequence
 
         # Cells are numbered term by term; -1 has the log likelihood, -2 the number of words.
         parts = docs.mapInPandas(e_step, "cell long, value double")
-        got = parts.groupBy("cell").agg(F.sum("value").alias("value")).toPandas()  # MAX_CELLS at most
+        got = parts.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()  # MAX_CELLS at most
         cell, value = got["cell"].to_numpy(), got["value"].to_numpy()
+        del got
         ll, n = (float(value[cell == k].sum()) for k in (-1, -2))
         beta = np.full(n_topics * len(vocabulary), params.eta)
         beta[cell[cell >= 0]] += value[cell >= 0]
         beta = beta.reshape(len(vocabulary), n_topics).T
         model.beta = beta / beta.sum(1, keepdims=True)
-        shared.unpersist()
+        shared.destroy()
         if i % step == 0 or i == iterations:
             model.log.append((i, ll / max(n, 1.0), math.exp(-ll / max(n, 1.0))))
     docs.unpersist()
