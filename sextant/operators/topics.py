@@ -27,6 +27,8 @@ from .aggs import first_seen
 
 #: Cells of the topic-word table that a fit takes at most; a larger vocabulary needs a higher min_cf.
 MAX_CELLS = 20_000_000
+#: Terms times topics that are worked on at once.
+BLOCK_CELLS = 400_000
 #: A vocabulary without a bound, of PlainLDA.
 ALL_TERMS = (1 << 31) - 1
 
@@ -115,19 +117,42 @@ def _one(terms: Sequence[int], counts: Sequence[int]) -> tuple[np.ndarray, np.nd
     return t, np.bincount(place, weights=np.asarray(counts, float), minlength=len(t))
 
 
-def _posterior(terms: np.ndarray, counts: np.ndarray, allowed: np.ndarray, by_term: np.ndarray, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Topic shares, expected counts (terms x topics) and log likelihood of a document. by_term: terms x topics."""
-    b = by_term[terms][:, allowed]
-    theta = np.full(len(allowed), 1.0 / len(allowed))
+def _posteriors(docs: Sequence[tuple[np.ndarray, np.ndarray]], allowed: np.ndarray, by_topic: np.ndarray, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents (terms, counts) with the same topics: topic shares (topics x documents), the terms one after the other,
+    their expected counts (topics x terms), and log likelihoods. A document rests once its shares do. by_topic: topics x terms."""
+    lengths = np.array([len(t) for t, _ in docs])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    terms, counts = np.concatenate([t for t, _ in docs]), np.concatenate([c for _, c in docs])
+    b = by_topic[np.ix_(allowed, terms)]
+    theta, live = np.full((len(allowed), len(docs)), 1.0 / len(allowed)), np.ones(len(docs), bool)
+    mass = lambda: np.maximum(np.einsum("kj,kj->j", b, np.repeat(theta, lengths, axis=1)), 1e-300)
     for _ in range(rounds):
-        n = theta * ((counts / np.maximum(b @ theta, 1e-300)) @ b) + alpha
-        new = n / n.sum()
-        done = np.abs(new - theta).max() < 1e-6
-        theta = new
-        if done:
+        n = theta * np.add.reduceat(b * (counts / mass()), starts, axis=1) + alpha
+        new = n / n.sum(0)
+        moved = np.abs(new - theta).max(0) >= 1e-6
+        theta = np.where(live, new, theta)
+        live &= moved
+        if not live.any():
             break
-    mass = np.maximum(b @ theta, 1e-300)
-    return theta, b * theta * (counts / mass)[:, None], float(counts @ np.log(mass))
+    m = mass()
+    return theta, terms, b * np.repeat(theta, lengths, axis=1) * (counts / m), np.add.reduceat(counts * np.log(m), starts)
+
+
+def _blocks(docs: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence, place: dict, p: Params, n_topics: int) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """(allowed topics, positions) of documents with the same topics, BLOCK_CELLS or one document at a time."""
+    by_label: dict = {}
+    for i, x in enumerate(labels):
+        by_label.setdefault(x if x in place else None, []).append(i)
+    for x, members in by_label.items():
+        allowed, held, cells = _allowed(x, place, p, n_topics), [], 0
+        for i in members:
+            size = len(docs[i][0]) * len(allowed)
+            if held and cells + size > BLOCK_CELLS:
+                yield allowed, held
+                held, cells = [], 0
+            held.append(i)
+            cells += size
+        yield allowed, held
 
 
 def _allowed(label: str | None, place: dict[str, int], p: Params, n_topics: int) -> np.ndarray:
@@ -155,23 +180,23 @@ def fit_labelled(df: DataFrame, doc: str, text: str, label: str, order: Sequence
     docs = _bags(labelled, doc, text, label, vocabulary).select("label", "terms", "counts").persist()
     model = LabelledModel(labels, vocabulary, _start(n_topics, vocabulary, params.seed), params)
     for i in range(1, iterations + 1):
-        shared = spark.sparkContext.broadcast(np.ascontiguousarray(model.beta.T))
+        shared = spark.sparkContext.broadcast(model.beta)
 
         def e_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            by_term = shared.value
-            sums, ll, n = np.zeros_like(by_term), 0.0, 0.0
+            by_topic = shared.value
+            sums, ll, n = np.zeros_like(by_topic), 0.0, 0.0
             for pdf in batches:
-                for x, ts, cs in zip(pdf["label"], pdf["terms"], pdf["counts"]):
-                    t, c = _one(ts, cs)
-                    allowed = _allowed(x, place, params, n_topics)
-                    _, expected, one = _posterior(t, c, allowed, by_term, params.alpha, 20)
-                    sums[t[:, None], allowed] += expected
-                    ll, n = ll + one, n + c.sum()
+                bags = [_one(ts, cs) for ts, cs in zip(pdf["terms"], pdf["counts"])]
+                for allowed, held in _blocks(bags, pdf["label"], place, params, n_topics):
+                    _, t, expected, one = _posteriors([bags[i] for i in held], allowed, by_topic, params.alpha, 20)
+                    for k, row in zip(allowed, expected):
+                        np.add.at(sums[k], t, row)
+                    ll, n = ll + float(one.sum()), n + sum(float(bags[i][1].sum()) for i in held)
             flat = sums.reshape(-1)
             cells = np.flatnonzero(flat)
             yield pd.DataFrame({"cell": np.concatenate([[-2, -1], cells]), "value": np.concatenate([[n, ll], flat[cells]])})
 
-        # Cells are numbered term by term; -1 has the log likelihood, -2 the number of words.
+        # Cells are numbered topic by topic; -1 has the log likelihood, -2 the number of words.
         parts = docs.mapInPandas(e_step, "cell long, value double")
         got = parts.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()  # MAX_CELLS at most
         cell, value = got["cell"].to_numpy(), got["value"].to_numpy()
@@ -179,7 +204,7 @@ def fit_labelled(df: DataFrame, doc: str, text: str, label: str, order: Sequence
         ll, n = (float(value[cell == k].sum()) for k in (-1, -2))
         beta = np.full(n_topics * len(vocabulary), params.eta)
         beta[cell[cell >= 0]] += value[cell >= 0]
-        beta = beta.reshape(len(vocabulary), n_topics).T
+        beta = beta.reshape(n_topics, len(vocabulary))
         model.beta = beta / beta.sum(1, keepdims=True)
         shared.destroy()
         if i % step == 0 or i == iterations:
@@ -192,21 +217,19 @@ def infer_labelled(df: DataFrame, doc: str, text: str, model: LabelledModel, lab
     """(doc, topics array, ll): shares of all topics, or where a known label is given of its block and the latent ones."""
     spark, p = df.sparkSession, model.params
     place = {x: i for i, x in enumerate(model.labels)}
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(model.beta.T))
+    shared = spark.sparkContext.broadcast(model.beta)
     rows = _bags(df, doc, text, label, model.vocabulary)
     kind = df.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_term = shared.value
+        by_topic = shared.value
         for pdf in batches:
-            out = []
-            for d, x, ts, cs in zip(pdf["doc"], pdf["label"], pdf["terms"], pdf["counts"]):
-                t, c = _one(ts, cs)
-                allowed = _allowed(x, place, p, by_term.shape[1])
-                theta, _, ll = _posterior(t, c, allowed, by_term, p.alpha, iterations)
-                full = np.zeros(by_term.shape[1])
-                full[allowed] = theta
-                out.append((d, full.tolist(), ll / c.sum()))
+            bags, out = [_one(ts, cs) for ts, cs in zip(pdf["terms"], pdf["counts"])], []
+            for allowed, held in _blocks(bags, pdf["label"], place, p, len(by_topic)):
+                theta, _, _, ll = _posteriors([bags[i] for i in held], allowed, by_topic, p.alpha, iterations)
+                full = np.zeros((len(held), len(by_topic)))
+                full[:, allowed] = theta.T
+                out += [(pdf["doc"].iloc[i], row.tolist(), one / bags[i][1].sum()) for i, row, one in zip(held, full, ll)]
             yield pd.DataFrame(out, columns=["doc", "topics", "ll_per_word"])
 
     return rows.mapInPandas(run, f"doc {kind}, topics array<double>, ll_per_word double").withColumnRenamed("doc", doc)

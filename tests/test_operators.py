@@ -224,6 +224,33 @@ def test_labelled_topics_of_odd_rows(spark):
     assert empty.beta.shape == (1, 0) and topics.infer_labelled(df, "id", "text", empty).count() == 0
 
 
+def test_posteriors_of_a_block_are_those_of_plain_loops():
+    r = np.random.default_rng(2)
+    beta = r.dirichlet(np.ones(30), 5)
+    docs = [(np.sort(r.permutation(30)[:n]), r.integers(1, 5, n).astype(float)) for n in (1, 7, 30, 12)]
+    allowed = np.array([0, 3, 4])
+    theta, terms, expected, ll = topics._posteriors(docs, allowed, beta, 0.1, 20)
+    assert terms.tolist() == [x for t, _ in docs for x in t]
+    at = 0
+    for d, (t, c) in enumerate(docs):
+        shares = [1 / 3] * 3
+        for _ in range(20):
+            n = [0.1] * 3
+            for w, k in zip(t, c):
+                mass = sum(shares[j] * beta[z, w] for j, z in enumerate(allowed))
+                n = [n[j] + k * shares[j] * beta[z, w] / mass for j, z in enumerate(allowed)]
+            new = [x / sum(n) for x in n]
+            rests = max(abs(x - y) for x, y in zip(new, shares)) < 1e-6
+            shares = new
+            if rests:
+                break
+        np.testing.assert_allclose(theta[:, d], shares, rtol=1e-9)
+        mass = [sum(shares[j] * beta[z, w] for j, z in enumerate(allowed)) for w in t]
+        np.testing.assert_allclose(ll[d], sum(k * math.log(m) for k, m in zip(c, mass)))
+        np.testing.assert_allclose(expected[:, at : at + len(t)], [[k * shares[j] * beta[z, w] / m for w, k, m in zip(t, c, mass)] for j, z in enumerate(allowed)])
+        at += len(t)
+
+
 def test_plain_topics(spark):
     rows = [(i, ("budget tax euro " if i % 2 else "army war border ") * 6) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, text string")
