@@ -117,6 +117,13 @@ def _one(terms: Sequence[int], counts: Sequence[int]) -> tuple[np.ndarray, np.nd
     return t, np.bincount(place, weights=np.asarray(counts, float), minlength=len(t))
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All rows, 512 at a time."""
+    for pdf in batches:
+        for at in range(0, len(pdf), 512):
+            yield pdf.iloc[at : at + 512]
+
+
 def _posteriors(docs: Sequence[tuple[np.ndarray, np.ndarray]], allowed: np.ndarray, by_topic: np.ndarray, alpha: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents (terms, counts) with the same topics: topic shares (topics x documents), the terms one after the other,
     their expected counts (topics x terms), and log likelihoods. A document rests once its shares do. by_topic: topics x terms."""
@@ -185,7 +192,7 @@ def fit_labelled(df: DataFrame, doc: str, text: str, label: str, order: Sequence
         def e_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by_topic = shared.value
             sums, ll, n = np.zeros_like(by_topic), 0.0, 0.0
-            for pdf in batches:
+            for pdf in _pieces(batches):
                 bags = [_one(ts, cs) for ts, cs in zip(pdf["terms"], pdf["counts"])]
                 for allowed, held in _blocks(bags, pdf["label"], place, params, n_topics):
                     _, t, expected, one = _posteriors([bags[i] for i in held], allowed, by_topic, params.alpha, 20)
@@ -223,7 +230,7 @@ def infer_labelled(df: DataFrame, doc: str, text: str, model: LabelledModel, lab
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_topic = shared.value
-        for pdf in batches:
+        for pdf in _pieces(batches):
             bags, out = [_one(ts, cs) for ts, cs in zip(pdf["terms"], pdf["counts"])], []
             for allowed, held in _blocks(bags, pdf["label"], place, p, len(by_topic)):
                 theta, _, _, ll = _posteriors([bags[i] for i in held], allowed, by_topic, p.alpha, iterations)
