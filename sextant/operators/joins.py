@@ -79,16 +79,17 @@ def asof_join(
     return found.select("_left.*", "selection_method", *(F.col(f"_last.{c}").alias(c) for c in names))
 
 
-#: Blocks of days have 8 ** level days, up to the level of 45,000 years.
-BLOCK_LEVELS = 8
+#: Blocks of days have 8 ** level days; all levels hold the dates that a timestamp can have, which reach 290,000 years either way.
+BLOCK_LEVELS = 10
 #: Right rows of a group that interval_lookup lays beside each left row; a group with more goes by blocks of days.
 FEW_INTERVALS = 64
 
 
-def interval_lookup(left: DataFrame, right: DataFrame, by: Sequence[str], day: str, start: str, end: str, priority: Column, columns: Sequence[str]) -> DataFrame:
+def interval_lookup(left: DataFrame, right: DataFrame, by: Sequence[str], day: str, start: str, end: str, priority: Column, columns: Sequence[str], undated: bool = False) -> DataFrame:
     """Each left row with one right row of its group: in range before out of range, then by priority, then the latest start,
     then the least of `columns`. Days, starts and ends are dates; a null start or end is open. Right rows with a null priority
-    take no part; a left row without a day is out of range, and one whose group has no right rows gets nulls.
+    take no part; a left row without a day is out of range (with `undated`, of all but intervals without start and end), and one
+    whose group has no right rows gets nulls and is out of range.
 
     Groups of FEW_INTERVALS right rows or fewer are one array, which each left row looks through. In larger groups no left
     row meets an interval: an interval is cut into the few aligned blocks of days that fill it (at most 14 of a level), and the
@@ -96,22 +97,23 @@ def interval_lookup(left: DataFrame, right: DataFrame, by: Sequence[str], day: s
     group and day of the left looks up BLOCK_LEVELS rows and takes the best; out of range, one best row a group serves. So a
     hot group is spread over its days and blocks.
     """
-    number = lambda at: F.when(at.isNotNull(), F.greatest(F.datediff(at, F.lit("0001-01-01").cast("date")), F.lit(0)).cast("long"))
+    number = lambda at: F.datediff(at, F.lit("1970-01-01").cast("date")).cast("long") + 8**BLOCK_LEVELS // 2
     least = F.struct(F.col("_priority"), F.col(start).isNull().alias("_open"), (-number(F.col(start))).alias("_latest"), *(F.col(c).alias(f"_c_{c}") for c in columns))
     r = right.withColumn("_priority", priority).filter("_priority is not null")
-    r = r.select(*by, least.alias("_row"), F.coalesce(number(F.col(start)), F.lit(0)).alias("_s"), F.coalesce(number(F.col(end)) + 1, F.lit(8**BLOCK_LEVELS)).alias("_e"))
+    always = (F.col(start).isNull() & F.col(end).isNull() & F.lit(undated)).alias("_always")
+    r = r.select(*by, least.alias("_row"), F.coalesce(number(F.col(start)), F.lit(0)).alias("_s"), F.coalesce(number(F.col(end)) + 1, F.lit(8**BLOCK_LEVELS)).alias("_e"), always)
     r = r.join(r.groupBy(*by).agg(F.count("*").alias("_size")), list(by))
-    few = r.filter(F.col("_size") <= FEW_INTERVALS).groupBy(*by).agg(F.collect_list(F.struct("_row", "_s", "_e")).alias("_rows"))
+    few = r.filter(F.col("_size") <= FEW_INTERVALS).groupBy(*by).agg(F.collect_list(F.struct("_row", "_s", "_e", "_always")).alias("_rows"))
     many = r.filter(F.col("_size") > FEW_INTERVALS)
-    best = many.groupBy(*by).agg(F.min("_row").alias("_any"))
+    best = many.groupBy(*by).agg(F.min("_row").alias("_any"), F.min(F.when(F.col("_always"), F.col("_row"))).alias("_without_day"))
     days = left.select(*by, F.col(day).alias("_day")).filter("_day is not null").join(sized_broadcast(best.select(*by)), list(by), "left_semi").distinct()
     own = F.array(*(F.struct(F.lit(level).alias("_level"), F.expr(f"_n div {8**level}").alias("_block")) for level in range(BLOCK_LEVELS)))
     asked = days.withColumn("_n", number(F.col("_day"))).select(*by, "_day", F.explode(own).alias("_at"))
     inside = asked.join(_day_blocks(many, by), [*by, "_at"]).groupBy(*by, "_day").agg(F.min("_row").alias("_inside"))
     found = left.withColumn("_day", F.col(day)).withColumn("_n", number(F.col(day))).join(few, list(by), "left")
     found = found.join(inside, [*by, "_day"], "left").join(sized_broadcast(best), list(by), "left")
-    held = F.filter("_rows", lambda x: (F.col("_n") >= x["_s"]) & (F.col("_n") < x["_e"]))
-    hit = F.coalesce(F.array_min(F.transform(held, lambda x: x["_row"])), "_inside")
+    held = F.filter("_rows", lambda x: F.coalesce((F.col("_n") >= x["_s"]) & (F.col("_n") < x["_e"]), x["_always"]))
+    hit = F.coalesce(F.array_min(F.transform(held, lambda x: x["_row"])), "_inside", F.when(F.col("_n").isNull(), F.col("_without_day")))
     found = found.withColumn("_hit", hit).withColumn("_found", F.coalesce("_hit", F.array_min(F.transform("_rows", lambda x: x["_row"])), "_any"))
     return found.select(*left.columns, *(F.col(f"_found._c_{c}").alias(c) for c in columns), F.col("_hit").isNotNull().alias("in_range"))
 
