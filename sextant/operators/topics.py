@@ -1,4 +1,4 @@
-"""Topic models over Spark: plain LDA (from the ML library) and label-constrained LDA.
+"""Topic models over Spark: plain LDA (batch variational) and label-constrained LDA.
 
 Label-constrained LDA owns a block of topics for each label and some latent topics for all. A labelled document may use its
 label's block and the latent topics; an unlabelled one all. Fitting alternates an E-step over partitions of documents (each
@@ -10,16 +10,17 @@ seed, so a fit is deterministic.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
@@ -31,6 +32,12 @@ MAX_CELLS = 20_000_000
 BLOCK_CELLS = 400_000
 #: A vocabulary without a bound, of PlainLDA.
 ALL_TERMS = (1 << 31) - 1
+#: Words of a block of documents of PlainLDA (a quarter where nothing is kept), and terms whose sums travel together.
+BLOCK_WORDS, RANGE = 1_000_000, 1 << 16
+#: PlainLDA's variational step: rounds at most, in three parts, and the change of weights at which a document rests.
+ROUNDS, TOLERANCE, TINY = (10, 20, 70), 1e-3, 1e-35
+#: Words times topics that it works on at once, few enough for a core's cache.
+STEP_CELLS = 200_000
 
 
 @dataclass(frozen=True)
@@ -266,47 +273,323 @@ def split_docs(df: DataFrame, doc: str, seed: int, share: float = 0.2) -> tuple[
     return df.filter(u >= share), df.filter(u < share)
 
 
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers, to 1e-10."""
+    y = x + 6.0
+    z = 1.0 / (y * y)
+    out = np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132))))
+    for i in range(6):
+        out -= 1.0 / (x + i)
+    return out
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers, to 1e-9."""
+    y = x + 8.0
+    z = 1.0 / (y * y)
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
+    for i in range(8):
+        out -= np.log(x + i)
+    return out
+
+
+def _expected_logs(x: np.ndarray) -> np.ndarray:
+    """E log of Dirichlet variables, a row each."""
+    return _digamma(x) - _digamma(x.sum(-1, keepdims=True))
+
+
+def _word_bags(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of rows of words: distinct words of each, these one row after the other as places in a list of all, their counts; the list."""
+    coded = words.flatten().dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    rows = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    code, counts = np.unique(rows * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    rows, places = np.divmod(code, size)
+    return np.bincount(rows, minlength=len(words)), places, counts, coded.dictionary
+
+
+def _slices(words: pa.ListArray, most: int) -> Iterator[pa.ListArray]:
+    """All rows, so many words or one row at a time."""
+    ends, at = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False)), 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield words.slice(at, to - at)
+        at = to
+
+
+def _known(lengths: np.ndarray, places: np.ndarray, counts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bags of known words only; numbers: of the words in the list, -1 if unknown. The list becomes one of numbers that rise."""
+    held = np.unique(numbers[numbers >= 0])
+    keep = numbers[places] >= 0
+    rows = np.repeat(np.arange(len(lengths)), lengths)[keep]
+    return np.bincount(rows, minlength=len(lengths)), np.searchsorted(held, numbers)[places[keep]], counts[keep], held
+
+
+def _variational(lengths: np.ndarray, places: np.ndarray, counts: np.ndarray, b: np.ndarray, prior: float, sums: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Topic weights (documents x topics) of documents with words, and their summed log likelihood, by the variational step of
+    LDA: until the weights of a document change by less than TOLERANCE in the mean, ROUNDS at most. b: words x topics, the
+    exponentials of the expected logs. To sums (words x topics) each word's expected shares of counts are added, to be
+    multiplied by b. Documents of like length are worked on together, some STEP_CELLS cells or one document at a time."""
+    k, starts = b.shape[1], np.cumsum(lengths) - lengths
+    out, left = np.ones((len(lengths), k)), np.argsort(lengths, kind="stable")
+    kind = np.float32 if k <= 16 else np.float64  # a prior of 1 / 16 leaves products of e and b far above the least 32-bit float
+    for rounds in ROUNDS:  # what doesn't rest in these rounds is grouped anew
+        later, at = [], 0
+        while at < len(left):
+            # The longest of a group decides its width.
+            like = np.searchsorted(lengths[left], 1.1 * lengths[left[at]] + 4, "right")
+            live = left[at : min(like, at + max(1, STEP_CELLS // (k * int(lengths[left[at]]))))]
+            at += len(live)
+            wide = np.arange(lengths[live[-1]])
+            real = wide < lengths[live][:, None]
+            where = np.where(real, starts[live][:, None] + wide, 0)
+            cells = np.ascontiguousarray(b[places[where]].transpose(0, 2, 1), kind)  # documents x topics x words
+            n, mine, rests = np.where(real, counts[where], 0).astype(kind), out[live], np.zeros(len(live), bool)
+            for _ in range(rounds):
+                e = np.exp(_digamma(mine)).astype(kind)  # less that of the sum, which cancels out
+                share = n / (np.matmul(e[:, None, :], cells)[:, 0] + kind(TINY))
+                new = np.where(rests[:, None], mine, prior + e * np.matmul(cells, share[:, :, None])[:, :, 0])
+                rests |= np.abs(new - mine).sum(1) < k * TOLERANCE
+                mine, moving = new, len(rests) - np.count_nonzero(rests)
+                if moving < 0.8 * len(rests):
+                    out[live] = mine
+                    live, mine, cells, n, rests = live[~rests], mine[~rests], cells[~rests], n[~rests], np.zeros(moving, bool)
+                    if not moving:
+                        break
+            out[live] = mine
+            later.append(live[~rests])
+        left = np.concatenate([left[:0], *later])
+    e, mass = np.exp(_expected_logs(out)), np.full(len(places), TINY)
+    for topic in range(k):
+        mass += b[places, topic] * np.repeat(e[:, topic], lengths)
+    if sums is not None:
+        for topic in range(k):
+            sums[:, topic] += np.bincount(places, counts / mass * np.repeat(e[:, topic], lengths), minlength=len(b))
+    return out, float((counts * np.log(mass)).sum())
+
+
+@dataclass
+class Vocabulary:
+    """Terms from the most frequent one down (of equals the smaller first), and their numbers by hash."""
+
+    terms: pa.Array
+    salt: int
+    hashes: np.ndarray  # sorted
+    numbers: np.ndarray
+
+    @property
+    def vocabulary(self) -> list[str]:
+        return self.terms.to_pylist()
+
+    @staticmethod
+    def hashed(words: Column, salt: int) -> Column:
+        return F.transform(words, lambda w: F.xxhash64(w, F.lit(salt)))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers, -1 if unknown."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], -1)
+
+
+def _tidy() -> None:
+    """Hands memory that is free back to the system, which allocators else keep for later; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def _ints(x: np.ndarray) -> bytes:
+    """Small numbers, most of them: compressed, behind the size."""
+    plain = x.astype(np.int32).tobytes()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True)
+
+
+def _read(x: pa.BinaryScalar) -> np.ndarray:
+    packed = x.as_buffer()
+    return np.frombuffer(pa.decompress(packed.slice(8), int.from_bytes(packed.slice(0, 8).to_pybytes(), "little"), "zstd"), np.int32)
+
+
 class PlainLDA:
-    """LDA of the ML library over a term-count vocabulary that is learnt once and reused."""
+    """Batch variational LDA, as the reference fits it, over a term-count vocabulary that is learnt once and reused: priors of
+    1 / topics; each iteration reads all documents. Documents are split into words once a fit and then kept, on the executors,
+    as blocks of numbers; what a task adds to the topics' words is summed by ranges of words before it reaches the driver,
+    which holds topics x vocabulary (MAX_CELLS at most). Tables of words by topics travel as 32-bit floats. In transform() a
+    word is known by its 64-bit hash; no two words of a vocabulary share one."""
 
     def __init__(self, n_topics: int, seed: int = 42, iterations: int = 20, vocabulary: int = 1 << 16, stop_words: Sequence[str] = ()):
         self.n_topics, self.seed, self.iterations, self.vocabulary, self.stop_words = n_topics, seed, iterations, vocabulary, list(stop_words)
 
-    def _tokens(self, df: DataFrame, text: str) -> DataFrame:
+    def _words(self, text: str) -> Column:
         words = terms(F.col(text))
-        if self.stop_words:
-            words = F.filter(words, lambda w: ~w.isin(self.stop_words))
-        return df.withColumn("_tokens", words).filter(F.size("_tokens") > 0)
+        return F.filter(words, lambda w: ~w.isin(self.stop_words)) if self.stop_words else words
+
+    def _learn(self, blocks: DataFrame) -> Vocabulary:
+        most = MAX_CELLS // self.n_topics
+        cf = blocks.select(F.explode(F.arrays_zip("words", "cf")).alias("x")).groupBy(F.col("x.words").alias("term")).agg(F.sum("x.cf").alias("cf"))
+        cf = cf.orderBy(F.desc("cf"), "term").limit(self.vocabulary) if self.vocabulary <= most else cf.limit(most + 1)
+        for salt in itertools.count():  # until all hashes differ: the first time, but for one vocabulary in millions
+            rows = cf.withColumn("hash", F.xxhash64("term", F.lit(salt))).toArrow()
+            if len(rows) > most:
+                raise ValueError(f"{self.n_topics} topics x more than {most} terms; bound the vocabulary")
+            rows = rows.take(pc.sort_indices(rows, [("cf", "descending"), ("term", "ascending")]))
+            hashes = rows["hash"].to_numpy()
+            order = np.argsort(hashes).astype(np.int32)
+            hashes, found = hashes[order], rows["term"].combine_chunks()
+            del rows
+            _tidy()
+            if (hashes[1:] != hashes[:-1]).all():
+                return Vocabulary(found, salt, hashes, order)
 
     def fit(self, df: DataFrame, text: str) -> PlainLDA:
-        from pyspark.ml.clustering import LDA
-        from pyspark.ml.feature import CountVectorizer
-
-        rows = self._tokens(df, text)
-        self.counts = CountVectorizer(inputCol="_tokens", outputCol="_counts", vocabSize=self.vocabulary, minDF=1).fit(rows)
-        if self.n_topics * len(self.counts.vocabulary) > MAX_CELLS:
-            raise ValueError(f"{self.n_topics} topics x {len(self.counts.vocabulary)} terms; bound the vocabulary")
-        lda = LDA(k=self.n_topics, seed=self.seed, maxIter=self.iterations, optimizer="online", subsamplingRate=1.0, optimizeDocConcentration=False, featuresCol="_counts", topicDistributionCol="_topics")
-        self.model = lda.fit(self.counts.transform(rows))
+        spark, k = df.sparkSession, self.n_topics
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for words in _slices(batch.column("words"), BLOCK_WORDS):
+                    lengths, places, counts, names = _word_bags(words)
+                    cf = np.bincount(places, counts, minlength=len(names)).astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"lengths": [_ints(lengths)], "places": [_ints(places)], "counts": [_ints(counts)], "words": pa.ListArray.from_arrays([0, len(names)], names), "cf": [cf]}, schema)
+
+        schema = pa.schema({"lengths": pa.binary(), "places": pa.binary(), "counts": pa.binary(), "words": pa.list_(pa.string()), "cf": pa.list_(pa.int64())})
+        blocks = df.select(self._words(text).alias("words")).mapInArrow(split, "lengths binary, places binary, counts binary, words array<string>, cf array<long>").persist()
+        self.counts = self._learn(blocks)
+        size, known = len(self.counts.terms), spark.sparkContext.broadcast((self.counts.salt, self.counts.hashes, self.counts.numbers))
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = Vocabulary(None, *known.value)
+            for batch in batches:
+                for i in range(len(batch)):
+                    numbers = names.find(batch.column("words")[i].values.to_numpy(zero_copy_only=False))
+                    lengths, places, counts, held = _known(*(_read(batch.column(c)[i]) for c in ("lengths", "places", "counts")), numbers)
+                    yield pa.RecordBatch.from_pydict({"lengths": [_ints(lengths[lengths > 0])], "places": [_ints(places)], "counts": [_ints(counts)], "held": [_ints(held)], "cells": [len(places)]})
+
+        numbered = blocks.withColumn("words", Vocabulary.hashed(F.col("words"), self.counts.salt)).drop("cf")
+        bags = numbered.mapInArrow(number, "lengths binary, places binary, counts binary, held binary, cells long").filter("cells > 0").persist()
+        # A task sends its words' sums on, so there are as few tasks as the cores and their memory ask for.
+        cells = bags.agg(F.sum("cells")).first()[0] or 0
+        blocks.unpersist()
+        tasks = bags.drop("cells").coalesce(max(spark.sparkContext.defaultParallelism, cells // (4 * BLOCK_WORDS)))
+        ranges = -(-size // RANGE)
+
+        def e_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b, parts = shared.value, []
+            _tidy()
+            for batch in batches:
+                for i in range(len(batch)):
+                    lengths, places, counts, held = (_read(batch.column(c)[i]) for c in ("lengths", "places", "counts", "held"))
+                    mine, sums = b[held].astype(float), np.zeros((len(held), k))
+                    _variational(lengths, places, counts, mine, 1 / k, sums)
+                    parts.append((held, mine * sums))
+            if not parts:
+                return
+            rows = np.unique(np.concatenate([held for held, _ in parts]))
+            total = np.zeros((len(rows), k))
+            for held, sums in parts:
+                total[np.searchsorted(rows, held)] += sums
+            for r in range(ranges):
+                at = slice(*np.searchsorted(rows, [r * RANGE, (r + 1) * RANGE]))
+                if at.start < at.stop:
+                    yield pa.RecordBatch.from_pydict({"r": pa.array([r], pa.int32()), "rows": [_ints(rows[at] - r * RANGE)], "v": [total[at].astype(np.float32).tobytes()]})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for r, rows, v in zip(batch.column("r").to_pylist(), batch.column("rows"), batch.column("v")):
+                    part = sums.setdefault(r, np.zeros((min(RANGE, size - r * RANGE), k)))
+                    part[_read(rows)] += np.frombuffer(v.as_buffer(), np.float32).reshape(-1, k)
+            for r, part in sums.items():
+                yield pa.RecordBatch.from_pydict({"r": pa.array([r], pa.int32()), "v": [part.astype(np.float32).tobytes()]})
+
+        start = np.random.default_rng(self.seed)
+        self.weights = np.empty((size, k), np.float32)
+        for at in range(0, size, RANGE):
+            self.weights[at : at + RANGE] = start.gamma(100.0, 0.01, (min(RANGE, size - at), k))
+        for _ in range(self.iterations if size else 0):
+            shared = spark.sparkContext.broadcast(self._exponentials())
+            parts = tasks.mapInArrow(e_step, "r int, rows binary, v binary").repartition(min(ranges, tasks.rdd.getNumPartitions()), "r")
+            got = parts.mapInArrow(add, "r int, v binary").toArrow()  # MAX_CELLS at most
+            self.weights.fill(1 / k)
+            for r, v in zip(got["r"].to_pylist(), got["v"]):
+                self.weights[r * RANGE : (r + 1) * RANGE] += np.frombuffer(v.as_buffer(), np.float32).reshape(-1, k)
+            del got
+            shared.destroy()
+            _tidy()
+        known.destroy()
+        bags.unpersist()
         return self
 
+    def _exponentials(self) -> np.ndarray:
+        out, total = np.empty(self.weights.shape, np.float32), _digamma(np.maximum(self.weights.sum(0, dtype=float), TINY))
+        for at in range(0, len(out), RANGE):
+            out[at : at + RANGE] = np.exp(_digamma(self.weights[at : at + RANGE].astype(float)) - total)
+        return out
+
+    def _bags(self, shared) -> Callable[[pa.ListArray], tuple]:
+        _tidy()
+        hashes, b = shared.value  # b in the order of the hashes
+        names = Vocabulary(None, 0, hashes, np.arange(len(hashes), dtype=np.int32))
+
+        def bags(words: pa.ListArray) -> tuple:
+            lengths, places, counts, found = _word_bags(words)
+            lengths, places, counts, held = _known(lengths, places, counts, names.find(found.to_numpy(zero_copy_only=False)))
+            return lengths, places, counts, b[held].astype(float)
+
+        return bags
+
+    def _share(self, df: DataFrame):
+        return df.sparkSession.sparkContext.broadcast((self.counts.hashes, self._exponentials()[self.counts.numbers]))  # within MAX_CELLS
+
     def transform(self, df: DataFrame, text: str, name: str = "topics") -> DataFrame:
         """df with topic shares; rows without a known word are left out."""
-        from pyspark.ml.functions import vector_to_array
-
-        rows = self.counts.transform(self._tokens(df, text))
-        some = rows.filter(F.size(F.filter(vector_to_array("_counts"), lambda x: x > 0)) > 0)
-        return self.model.transform(some).withColumn(name, vector_to_array("_topics")).drop("_tokens", "_counts", "_topics")
+        k, shared, bags_by = self.n_topics, self._share(df), self._bags
+
+        @F.arrow_udf("array<double>")
+        def shares(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            bags = bags_by(shared)
+            for batch in batches:
+                pieces = [pa.array([], pa.list_(pa.float64()))]
+                for hashes in _slices(batch, BLOCK_WORDS // 4):
+                    lengths, places, counts, b = bags(hashes)
+                    some = lengths > 0
+                    weights, _ = _variational(lengths[some], places, counts, b, 1 / k)
+                    ends = np.concatenate([[0], np.cumsum(some * k)]).astype(np.int32)
+                    pieces.append(pa.ListArray.from_arrays(pa.array(ends), pa.array((weights / weights.sum(1, keepdims=True)).ravel()), mask=pa.array(~some)))
+                yield pa.concat_arrays(pieces)
+
+        found = shares.asNondeterministic()(Vocabulary.hashed(self._words(text), self.counts.salt))  # else it would run for the filter too
+        return df.withColumn(name, found).filter(F.col(name).isNotNull())
 
     def perplexity(self, df: DataFrame, text: str) -> float:
-        """Of the rows that have a known word."""
-        from pyspark.ml.functions import vector_to_array
-
-        rows = self.counts.transform(self._tokens(df, text))
-        return math.exp(self.model.logPerplexity(rows.filter(F.exists(vector_to_array("_counts"), lambda x: x > 0))))
+        """Of the rows that have a known word: e to the less the variational bound of a word."""
+        k, shared, bags_by = self.n_topics, self._share(df), self._bags
+
+        def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bags = bags_by(shared)
+            for batch in batches:
+                for hashes in _slices(batch.column("words"), BLOCK_WORDS // 4):
+                    lengths, places, counts, b = bags(hashes)
+                    weights, ll = _variational(lengths[lengths > 0], places, counts, b, 1 / k)
+                    yield pa.RecordBatch.from_pydict({"bound": [ll + _dirichlet_bound(weights, 1 / k)], "n": [float(counts.sum())]})
+
+        rows = df.select(Vocabulary.hashed(self._words(text), self.counts.salt).alias("words")).mapInArrow(bounds, "bound double, n double")
+        bound, n = rows.agg(F.sum("bound"), F.sum("n")).first()
+        shared.destroy()
+        return math.exp(-(bound + _dirichlet_bound(self.weights.T.astype(float), 1 / k)) / n)
 
     def top_words(self, k: int) -> list[list[str]]:
-        return [[self.counts.vocabulary[i] for i in r.termIndices] for r in self.model.describeTopics(k).orderBy("topic").collect()]
+        """Of each topic, most likely first."""
+        return [[self.counts.terms[int(i)].as_py() for i in np.argsort(-w, kind="stable")[:k]] for w in self.weights.T]
+
+
+def _dirichlet_bound(weights: np.ndarray, prior: float) -> float:
+    """Sum over rows of E log p - E log q of Dirichlet variables of this prior."""
+    size, total = weights.shape[-1], 0.0
+    for row in np.array_split(weights, max(1, weights.size // BLOCK_CELLS)) if len(weights) > 1 else [weights]:
+        total += float(((prior - row) * _expected_logs(row) + _log_gamma(row)).sum() - _log_gamma(row.sum(-1)).sum()) + len(row) * (math.lgamma(prior * size) - size * math.lgamma(prior))
+    return total
 
 
 def held_out_perplexity(df: DataFrame, doc: str, text: str, topic_counts: Sequence[int], runs: int = 3, seed: int = 42, **options) -> list[tuple[int, int, float]]:
